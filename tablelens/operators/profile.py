@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.cleaning import emit, pct
-from tablelens.operators.identifiers import identifier_columns
 from tablelens.plans.passes import TableMetrics
 
 
@@ -98,7 +97,7 @@ def statistics(df_or_metrics) -> DataFrame:
     frequent value (ties: smallest value) with its share of non-missing.
     """
     m = metrics_of(df_or_metrics)
-    c = identifier_columns(m.columns)
+    c = m.identified
     n = F.col("num_count")
     numeric = (F.col("kind") == "numeric") & (n > 0)
     categorical = (F.col("kind") != "numeric") & (F.col("kind") != "complex") & (F.col("present") > 0)

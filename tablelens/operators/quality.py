@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.cleaning import pct
-from tablelens.operators.identifiers import identifier_columns
 from tablelens.operators.profile import metrics_of
 from tablelens.plans.passes import TableMetrics, col_ref
 
@@ -59,7 +58,7 @@ def outlier_counts(m: TableMetrics) -> DataFrame:
 def quality_columns(df_or_metrics) -> DataFrame:
     """Per-column quality record (Q9)."""
     m = metrics_of(df_or_metrics)
-    c = identifier_columns(m.columns).join(outlier_counts(m), "ord", "left")
+    c = m.identified.join(outlier_counts(m), "ord", "left")
     total = F.col("total_rows")
     unique = F.col("unique_count")
     non_numericish = ~F.col("kind").isin("numeric", "boolean")

@@ -286,6 +286,14 @@ class TableMetrics:
         )
         return materialize(out)
 
+    @cached_property
+    def identified(self) -> DataFrame:
+        """The per-column frame with identifier fields (cached: the name rules
+        are long expressions that every later rule would otherwise inline)."""
+        from tablelens.operators.identifiers import identifier_columns
+
+        return identifier_columns(self.columns).cache()
+
     @cached_property
     def rows(self) -> dict[str, Row]:
         return {r["column_name"]: r for r in self.columns.collect()}
