@@ -286,3 +286,6 @@ for _key in ("events_derived", "missing_lineitem"):
     _build, _src, _cols = _source(_key)
     register(f"insights_{_key}")((lambda b: lambda spark, sf_dir: insights(b(spark, sf_dir)))(_build))
     register(f"report_{_key}")((lambda b: lambda spark, sf_dir: report(b(spark, sf_dir)))(_build))
+
+
+from tablelens.plans import catalog_sql  # noqa: E402,F401  (registers the SQL-surface queries)
