@@ -289,3 +289,4 @@ for _key in ("events_derived", "missing_lineitem"):
 
 
 from tablelens.plans import catalog_sql  # noqa: E402,F401  (registers the SQL-surface queries)
+from tablelens.plans import catalog_ml  # noqa: E402,F401  (registers the model-path queries)
