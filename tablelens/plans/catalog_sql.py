@@ -8,6 +8,8 @@ the 4-place rounding the result emission applies to doubles).
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablelens.operators.sqlrun import run_sql, schema_summary
 from tablelens.operators.templates import (
     avg_by,
@@ -255,3 +257,25 @@ for _t in ("customer", "orders", "nation"):
     register(f"schema_summary_{_t}", _schema_summary_sql(_t, _cols))(
         (lambda t: lambda spark, sf_dir: schema_summary(table(spark, sf_dir, t)))(_t))
 
+
+
+# ---------------------------------------------------------------------------
+# CSV source: orders written as CSV under the shared checkpoint folder and
+# read back with type inference
+# ---------------------------------------------------------------------------
+
+@register("csv_roundtrip_orders",
+          "SELECT count(*) AS row_count, sum(o_orderkey) AS key_sum, round(sum(o_totalprice), 2) AS price_sum, "
+          "count(DISTINCT o_orderstatus) AS statuses, count(DISTINCT o_orderpriority) AS priorities FROM orders")
+def q_csv_roundtrip(spark, sf_dir):
+    from tablelens.session import ensure_checkpoint_dir
+    from tablelens.sources.csv import read_csv, write_csv
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-csv/orders-{abs(hash(sf_dir)) % 10**8}"
+    write_csv(table(spark, sf_dir, "orders"), path)
+    df = read_csv(spark, path)
+    return df.agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("o_orderkey").alias("key_sum"),
+        F.round(F.sum("o_totalprice"), 2).alias("price_sum"),
+        F.count_distinct("o_orderstatus").alias("statuses"), F.count_distinct("o_orderpriority").alias("priorities"),
+    )
