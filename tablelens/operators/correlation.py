@@ -50,6 +50,11 @@ def strength_columns(r: Column) -> list[Column]:
     ]
 
 
+def _complete(m) -> set[str]:
+    """Columns with no missing value (per-column frame: one row per column)."""
+    return {r["column_name"] for r in m.identified.where(F.col("missing_count") == 0).select("column_name").collect()}
+
+
 def eligible_columns(df_or_metrics) -> list[tuple[int, str]]:
     """Numeric, non-boolean, more than one distinct value, not an identifier.
 
@@ -63,9 +68,16 @@ def eligible_columns(df_or_metrics) -> list[tuple[int, str]]:
     return [(r["ord"], r["column_name"]) for r in rows]
 
 
-def pair_correlations(df: DataFrame, cols: list[tuple[int, str]], digits: int = 3) -> DataFrame:
+def pair_correlations(df: DataFrame, cols: list[tuple[int, str]], digits: int = 3,
+                      complete: set[str] | None = None) -> DataFrame:
     """(ord1, ord2, column1, column2, n, r) for every pair of ``cols``
-    ((ordinal, name), in column order), in one aggregate per chunk of pairs."""
+    ((ordinal, name), in column order), in one aggregate per chunk of pairs.
+
+    ``complete``: columns known to have no missing value; a pair of them
+    needs no pairwise masking, so its ``stddev_pop`` terms are the same
+    expressions for every pair and Catalyst computes each column's once.
+    """
+    complete = complete or set()
     ords = [o for o, _ in cols]
     names = [n for _, n in cols]
     spark = df.sparkSession
@@ -80,7 +92,12 @@ def pair_correlations(df: DataFrame, cols: list[tuple[int, str]], digits: int =
         chunk = pairs[start:start + PAIRS_PER_JOB]
         aggs, entries = [], []
         for k, (i, j) in enumerate(chunk):
-            n, r = safe_corr(vals[names[i]], vals[names[j]])
+            a, b = vals[names[i]], vals[names[j]]
+            if names[i] in complete and names[j] in complete:
+                n = F.count(F.lit(1))
+                r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+            else:
+                n, r = safe_corr(a, b)
             aggs += [n.alias(f"n{k}"), r.alias(f"r{k}")]
             entries.append(F.struct(
                 F.lit(ords[i]).alias("ord1"), F.lit(ords[j]).alias("ord2"),
@@ -97,7 +114,7 @@ def correlations(df_or_metrics) -> DataFrame:
     abs_correlation, strength, direction, tier."""
     m = metrics_of(df_or_metrics)
     names = eligible_columns(m)
-    pc = pair_correlations(m.df, names)
+    pc = pair_correlations(m.df, names, complete=_complete(m))
     return pc.select(
         "ord1", "ord2", "column1", "column2",
         F.col("r").alias("correlation"),
@@ -110,7 +127,7 @@ def correlation_matrix(df_or_metrics) -> DataFrame:
     """Long-form matrix over eligible columns (both orders and the diagonal)."""
     m = metrics_of(df_or_metrics)
     names = eligible_columns(m)
-    pc = pair_correlations(m.df, names)
+    pc = pair_correlations(m.df, names, complete=_complete(m))
     spark = m.spark
     diag = spark.createDataFrame([(n, n, 1.0) for _, n in names], "row_column string, col_column string, value double")
     return (

@@ -1,21 +1,28 @@
 """The shared passes every profiling operator reads from.
 
-A table is scanned twice, whatever its width:
-
-* **moments pass** — every column is unpivoted into ``(ord, key, num)``
-  (``key``: the value as text, null when missing; ``num``: the value as a
-  double for numeric and boolean columns) and aggregated per ``ord``.  The
-  partial aggregate leaves one row per column per task, so the shuffle is
-  tiny and a hot value cannot skew it.
-* **value-count pass** — ``groupBy(ord, key).count()`` over the same stream.
-  Partial aggregation collapses repeated values map-side (a value holding a
-  third of all rows becomes one row per task), and the exchange is hashed on
-  ``(ord, key)`` so high-cardinality columns spread evenly.  The result is
-  kept (cached or checkpointed) because distinct counts, modes, top-k
-  tables, quantiles, histograms and outlier counts all read it.
-
-Everything else works on the value-count frame or on the per-column frame
-(one row per column), never on raw rows again.
+A table is scanned **once**, whatever its width: every column is unpivoted
+into ``(ord, key, num)`` (``key``: the value as text for text, integral,
+boolean and date/time columns; ``num``: the value as a double for numeric
+and boolean columns; both null when the value is missing) and grouped by
+``(ord, key, num)``.  Partial aggregation collapses repeated values map-side
+(a value holding a third of all rows becomes one row per task) and the
+exchange is hashed on the value, so high-cardinality columns spread evenly.
+The resulting value-count frame (one row per distinct value per column,
+plus one row per column for its missing values) is kept — cached, or
+checkpointed into the shared checkpoint folder — because everything else
+reads it:
+
+* moments — counts, min/max, sum, mean, and centred second and third
+  moments from a second, weighted pass over the value counts (two-pass, so
+  no catastrophic cancellation on large values);
+* text tests (identifier patterns, lengths, date parsing) — run once per
+  distinct value and weighted by its count, not once per row;
+* distinct counts, modes, top-k tables, quantiles, histograms and outlier
+  counts.
+
+Float keys are turned into text only after the aggregation, on distinct
+values.  Everything downstream works on the value-count frame or on the
+per-column frame (one row per column), never on raw rows again.
 """
 
 from __future__ import annotations
@@ -102,8 +109,10 @@ def value_key(spec: ColumnSpec, c: Column) -> tuple[Column, Column]:
     null_d = F.lit(None).cast("double")
     if spec.kind == "numeric":
         num = clean_numeric(spec, c)
-        key = num.cast("string") if spec.floating else c.cast("string")
-        return key, num
+        if spec.integral:
+            return c.cast("string"), num
+        # floats (and decimals): text is made after aggregation, per distinct value
+        return F.lit(None).cast("string"), num
     if spec.kind == "boolean":
         key = F.when(c, F.lit("True")).when(~c, F.lit("False"))
         return key, c.cast("double")
@@ -165,52 +174,81 @@ class TableMetrics:
     def long(self) -> DataFrame:
         return long_form(self.df, self.specs)
 
-    # -- pass 1: moments -----------------------------------------------------
+    # -- the single scan: value counts ------------------------------------------
+    @cached_property
+    def counts_all(self) -> DataFrame:
+        """(ord, key, num, n) including one row per column for its missing values."""
+        vc = self.long.groupBy("ord", "key", "num").agg(F.count(F.lit(1)).alias("n"))
+        float_ords = [s.ordinal for s in self.specs if s.kind == "numeric" and not s.integral]
+        if float_ords:
+            vc = vc.withColumn(
+                "key",
+                F.when(F.col("ord").isin(float_ords) & F.col("num").isNotNull(), F.col("num").cast("string"))
+                .otherwise(F.col("key")),
+            )
+        return materialize(vc, reliable=self.reliable)
+
+    @cached_property
+    def value_counts(self) -> DataFrame:
+        """(ord, key, n, num): one row per distinct non-missing value per column."""
+        complex_ords = self.ords("complex")
+        vc = self.counts_all.where(F.col("key").isNotNull())
+        if complex_ords:
+            vc = vc.where(~F.col("ord").isin(complex_ords))
+        return vc.select("ord", "key", "n", "num")
+
+    # -- moments from the value counts -----------------------------------------
     @cached_property
     def moments(self) -> DataFrame:
         text_ords = self.ords("string", "datetime")
         str_ords = self.ords("string")
         is_text = F.col("ord").isin(text_ords) if text_ords else F.lit(False)
         is_str = F.col("ord").isin(str_ords) if str_ords else F.lit(False)
-        key, num = F.col("key"), F.col("num")
+        key, num, n = F.col("key"), F.col("num"), F.col("n")
         tkey = F.trim(key)
         present_text = is_text & key.isNotNull()
-        return self.long.groupBy("ord").agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count(key).alias("present"),
-            F.count(num).alias("num_count"),
+        finite = num.isNotNull() & ~_inf(num)
+
+        def wsum(cond: Column, value: Column | None = None) -> Column:
+            return F.sum(F.when(cond, n * value if value is not None else n))
+
+        def wavg(cond: Column, value: Column) -> Column:
+            return F.try_divide(wsum(cond, value), wsum(cond))
+
+        vc = self.counts_all
+        first = vc.groupBy("ord").agg(
+            F.sum(n).alias("n_rows"),
+            F.coalesce(wsum(key.isNotNull()), F.lit(0)).alias("present"),
+            F.coalesce(wsum(num.isNotNull()), F.lit(0)).alias("num_count"),
             F.min(num).alias("num_min"),
             F.max(num).alias("num_max"),
-            F.avg(num).alias("num_mean"),
-            F.sum(num).alias("num_sum"),
-            F.stddev_samp(num).alias("num_std"),
-            F.var_samp(num).alias("num_var"),
-            F.stddev_pop(num).alias("num_std_pop"),
-            F.skewness(num).alias("num_skew_pop"),
-            F.count_if(num.isNotNull() & ~_inf(num) & ((num % 1) != 0)).alias("num_nonint"),
-            F.count_if(_inf(num)).alias("num_inf"),
-            F.avg(F.when(present_text, F.length(tkey))).alias("avg_len"),
-            F.avg(F.when(present_text, tkey.rlike(UUID_PATTERN).cast("int"))).alias("uuid_rate"),
-            F.avg(F.when(present_text, tkey.rlike(PREFIX_ID_PATTERN).cast("int"))).alias("prefix_rate"),
-            F.avg(
-                F.when(is_str & key.isNotNull(), tkey.try_cast("timestamp").isNotNull().cast("int"))
-            ).alias("dt_rate"),
-            F.count_if(is_str & key.isNotNull() & ~tkey.rlike("^[0-9]+$")).alias("nondigit"),
+            wsum(num.isNotNull(), num).alias("num_sum"),
+            F.coalesce(wsum(finite & ((num % 1) != 0)), F.lit(0)).alias("num_nonint"),
+            F.coalesce(wsum(num.isNotNull() & _inf(num)), F.lit(0)).alias("num_inf"),
+            wavg(present_text, F.length(tkey)).alias("avg_len"),
+            wavg(present_text, tkey.rlike(UUID_PATTERN).cast("int")).alias("uuid_rate"),
+            wavg(present_text, tkey.rlike(PREFIX_ID_PATTERN).cast("int")).alias("prefix_rate"),
+            wavg(is_str & key.isNotNull(), tkey.try_cast("timestamp").isNotNull().cast("int")).alias("dt_rate"),
+            F.coalesce(wsum(is_str & key.isNotNull() & ~tkey.rlike("^[0-9]+$")), F.lit(0)).alias("nondigit"),
             F.min(F.when(present_text, key)).alias("min_text"),
+        ).withColumn("num_mean", F.try_divide(F.col("num_sum"), F.col("num_count")))
+        # second pass over the (small) value counts: centred moments
+        centred = vc.where(num.isNotNull()).join(F.broadcast(first.select("ord", "num_mean")), "ord").select(
+            "ord", "n", (num - F.col("num_mean")).alias("d")
+        ).groupBy("ord").agg(
+            F.sum(F.col("n") * F.col("d") * F.col("d")).alias("m2"),
+            F.sum(F.col("n") * F.col("d") * F.col("d") * F.col("d")).alias("m3"),
         )
-
-    # -- pass 2: value counts -------------------------------------------------
-    @cached_property
-    def value_counts(self) -> DataFrame:
-        """(ord, key, n, num): one row per distinct non-missing value per column."""
-        complex_ords = self.ords("complex")
-        base = self.long.where(F.col("key").isNotNull())
-        if complex_ords:
-            base = base.where(~F.col("ord").isin(complex_ords))
-        vc = base.groupBy("ord", "key").agg(
-            F.count(F.lit(1)).alias("n"), F.max("num").alias("num")
-        )
-        return materialize(vc, reliable=self.reliable)
+        out = first.join(centred, "ord", "left")
+        cnt, m2, m3 = F.col("num_count"), F.col("m2"), F.col("m3")
+        return out.select(
+            "*",
+            F.when(cnt > 1, F.sqrt(m2 / (cnt - 1))).alias("num_std"),
+            F.when(cnt > 1, m2 / (cnt - 1)).alias("num_var"),
+            F.when(cnt > 0, F.sqrt(m2 / cnt)).alias("num_std_pop"),
+            # population g1 = √n · m3 / m2^1.5 (undefined for a constant column)
+            F.when(m2 > 0, F.sqrt(cnt) * m3 / F.pow(m2, 1.5)).alias("num_skew_pop"),
+        ).drop("m2", "m3")
 
     @cached_property
     def value_stats(self) -> DataFrame:
