@@ -290,3 +290,61 @@ for _key in ("events_derived", "missing_lineitem"):
 
 from tablelens.plans import catalog_sql  # noqa: E402,F401  (registers the SQL-surface queries)
 from tablelens.plans import catalog_ml  # noqa: E402,F401  (registers the model-path queries)
+
+
+# ---------------------------------------------------------------------------
+# insight rules with an oracle: which rules fire, in which order, with which
+# severity, title and columns (message texts are unit-tested)
+# ---------------------------------------------------------------------------
+
+def insight_rules_sql(src: str, cols) -> str:
+    s = OE.quality_summary_sql(src, cols)
+    st = _stats_sql(src, cols)
+    qc = OE.quality_columns_sql(src, cols)
+    tp = OE.top_correlations_sql(src, cols)
+    none = "CAST([] AS VARCHAR[])"
+    return f"""
+WITH s AS ({s}), st AS ({st}), qc AS ({qc}), tp AS ({tp})
+SELECT 100 AS position, 'overview' AS type, 'info' AS severity, 'Dataset Overview' AS title, {none} AS columns FROM s
+UNION ALL
+SELECT 200, CASE WHEN missing_pct = 0 THEN 'data_integrity' ELSE 'missing_values' END,
+       CASE WHEN missing_pct > 20 THEN 'high' WHEN missing_pct > 5 THEN 'medium' ELSE 'info' END,
+       CASE WHEN missing_pct > 20 THEN 'Severe Missing Data' WHEN missing_pct > 5 THEN 'Moderate Missing Data'
+            ELSE 'Zero Missing Data' END, {none}
+FROM s WHERE missing_pct > 5 OR missing_pct = 0
+UNION ALL
+SELECT 300, 'duplicates', CASE WHEN duplicate_pct > 10 THEN 'high' ELSE 'medium' END, 'Duplicate Records Detected',
+       {none} FROM s WHERE duplicate_rows > 0
+UNION ALL
+SELECT CAST(400 + ordinal AS INTEGER), 'outliers', CASE WHEN outlier_pct > 10 THEN 'high' ELSE 'medium' END,
+       'Outliers in ''' || column_name || '''', [column_name]
+FROM (SELECT * FROM qc WHERE outlier_count > 0 ORDER BY ordinal LIMIT 3) o
+UNION ALL
+SELECT CAST(500 + rank AS INTEGER), 'correlation', 'info', strength || ' Correlation: ' || column1 || ' vs ' || column2,
+       [column1, column2] FROM tp WHERE abs(correlation) >= 0.40
+UNION ALL
+SELECT CAST(1000 + ordinal AS INTEGER), 'categorical_dominance', 'info', 'Dominant Category in ''' || column_name || '''',
+       [column_name] FROM st
+WHERE top_value IS NOT NULL AND top_pct >= 60.0 AND top_value NOT IN ('None', 'Missing', 'null')
+UNION ALL
+SELECT CAST(2000 + 2 * ordinal AS INTEGER), 'distribution', 'low',
+       CASE WHEN skewness > 0 THEN 'Right' ELSE 'Left' END || '-Skewed Distribution (''' || column_name || ''')',
+       [column_name] FROM st WHERE mean IS NOT NULL AND abs(skewness) > 1.5
+UNION ALL
+SELECT CAST(2001 + 2 * ordinal AS INTEGER), 'high_variance', 'low',
+       'High Measurement Variance (''' || column_name || ''')', [column_name] FROM st
+WHERE mean IS NOT NULL AND mean <> 0 AND std <> 0 AND std / abs(mean) > 1.5 AND min IS NOT NULL AND max IS NOT NULL
+UNION ALL
+SELECT 9000, 'empty_columns', 'high', 'Empty Columns', empty_columns FROM s WHERE len(empty_columns) > 0
+UNION ALL
+SELECT 9100, 'constant_columns', 'medium', 'Zero-Variance Columns', constant_columns FROM s
+WHERE len(constant_columns) > 0
+UNION ALL
+SELECT 9200, 'identifier', 'info', 'Potential Primary Key / ID Columns', id_columns FROM s WHERE len(id_columns) > 0
+"""
+
+
+for _key in ("events_derived", "missing_lineitem", "lineitem", "orders", "customer", "part"):
+    _build, _src, _cols = _source(_key)
+    register(f"insight_rules_{_key}", insight_rules_sql(_src, _cols))(
+        (lambda b: lambda spark, sf_dir: insights(b(spark, sf_dir)).drop("message"))(_build))
