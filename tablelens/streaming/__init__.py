@@ -1,0 +1 @@
+"""No streaming operators: the reproduced system has none (see README, SURVEY §2.14)."""
