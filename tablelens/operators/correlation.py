@@ -150,3 +150,13 @@ def top_correlations(df_or_metrics, pairs: DataFrame | None = None, top: int = T
     # at most `top` rows: a single-partition window is fine here
     rank = F.row_number().over(Window.orderBy(F.col("abs_correlation").desc(), "ord1", "ord2"))
     return best.select(rank.alias("rank"), *[c for c in pc.columns])
+
+
+def correlation_summary(df_or_metrics) -> DataFrame:
+    """One row: eligible numeric column count, pairs evaluated, and a message
+    when fewer than two columns qualify (C5)."""
+    m = metrics_of(df_or_metrics)
+    k = len(eligible_columns(m))
+    msg = ("At least two suitable numeric columns are required to calculate correlations." if k < 2 else "Ready")
+    return m.spark.createDataFrame([(k, k * (k - 1) // 2, msg)],
+                                   "numeric_column_count int, total_pairs_evaluated int, message string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.cleaning import emit, pct
-from tablelens.plans.passes import TableMetrics
+from tablelens.plans.passes import TableMetrics, col_ref
 
 
 def metrics_of(df_or_metrics) -> TableMetrics:
@@ -63,21 +63,30 @@ def profile_summary(df_or_metrics) -> DataFrame:
 
 
 def _logical_size(m: TableMetrics) -> DataFrame:
-    """Memory size re-aimed as logical size: text bytes + fixed widths × rows."""
+    """Memory size re-aimed as logical size: text bytes + fixed widths × rows.
+
+    Text bytes come from the kept value counts (bytes of each distinct value
+    × its count), so no extra scan is needed unless the table has nested
+    columns, whose JSON size is summed over the rows.
+    """
     widths = {"numeric": 8, "boolean": 1, "datetime": 8}
-    exprs = []
-    for s in m.specs:
-        col = F.col("`" + s.name.replace("`", "``") + "`")
-        if s.kind == "string":
-            exprs.append(F.coalesce(F.sum(F.octet_length(col)), F.lit(0)))
-        elif s.kind in widths:
-            exprs.append(F.count(F.lit(1)) * widths[s.kind])
-        else:
-            exprs.append(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(col)))), F.lit(0)))
-    total = exprs[0]
-    for e in exprs[1:]:
-        total = total + e
-    return m.df.agg(F.round(total / 1024.0, 2).alias("memory_kb"))
+    str_ords = m.ords("string")
+    fixed = sum(widths.get(s.kind, 0) for s in m.specs)
+    text = m.value_counts.where(F.col("ord").isin(str_ords)) if str_ords else m.value_counts.limit(0)
+    parts = m.columns.agg(F.coalesce(F.max("total_rows"), F.lit(0)).alias("rows")).crossJoin(
+        text.agg(F.coalesce(F.sum(F.octet_length("key") * F.col("n")), F.lit(0)).alias("text_bytes"))
+    )
+    nested = [s for s in m.specs if s.kind == "complex"]
+    if nested:
+        js = [F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(col_ref(s.name))))), F.lit(0)) for s in nested]
+        total = js[0]
+        for e in js[1:]:
+            total = total + e
+        parts = parts.crossJoin(m.df.agg(total.alias("nested_bytes")))
+    else:
+        parts = parts.withColumn("nested_bytes", F.lit(0))
+    size = F.col("text_bytes") + F.col("nested_bytes") + F.col("rows") * fixed
+    return parts.select(F.round(size / 1024.0, 2).alias("memory_kb"))
 
 
 def semantic_type(cols: DataFrame) -> Column:

@@ -348,3 +348,42 @@ for _key in ("events_derived", "missing_lineitem", "lineitem", "orders", "custom
     _build, _src, _cols = _source(_key)
     register(f"insight_rules_{_key}", insight_rules_sql(_src, _cols))(
         (lambda b: lambda spark, sf_dir: insights(b(spark, sf_dir)).drop("message"))(_build))
+
+
+# ---------------------------------------------------------------------------
+# table-level summaries
+# ---------------------------------------------------------------------------
+
+from tablelens.operators.correlation import correlation_summary  # noqa: E402
+from tablelens.operators.profile import profile_summary  # noqa: E402
+
+
+def profile_summary_sql(src: str, cols) -> str:
+    widths = {"numeric": 8, "boolean": 1, "datetime": 8}
+    fixed = sum(widths.get(O.kind_of(d), 0) for _, d in cols)
+    text = " + ".join(f"coalesce(sum(strlen({O.q(n)})), 0)" for n, d in cols if O.kind_of(d) == "string") or "0"
+    missing = ", ".join(
+        f"CASE WHEN count(*) - count({O.q(n)}) > 0 THEN {O.lit(n)} END" for n, _ in cols)
+    return (
+        f"SELECT CAST(count(*) AS BIGINT) AS row_count, CAST({len(cols)} AS BIGINT) AS column_count, "
+        f"list_filter([{missing}], lambda x: x IS NOT NULL) AS missing_columns, "
+        f"round(({text} + count(*) * {fixed}) / 1024.0, 2) AS memory_kb FROM {src} t"
+    )
+
+
+def correlation_summary_sql(src: str, cols) -> str:
+    ids = O.identifier_sql(O.colstats_sql(src, cols))
+    return (
+        f"SELECT CAST(k AS INTEGER) AS numeric_column_count, CAST(k * (k - 1) / 2 AS INTEGER) AS total_pairs_evaluated, "
+        f"CASE WHEN k < 2 THEN 'At least two suitable numeric columns are required to calculate correlations.' "
+        f"ELSE 'Ready' END AS message FROM (SELECT count(*) AS k FROM ({ids}) e "
+        f"WHERE kind = 'numeric' AND unique_count > 1 AND NOT is_identifier) c"
+    )
+
+
+for _key in ("lineitem", "missing_lineitem", "documents", "events_derived"):
+    _build, _src, _cols = _source(_key)
+    register(f"profile_summary_{_key}", profile_summary_sql(_src, _cols))(
+        (lambda b: lambda spark, sf_dir: profile_summary(b(spark, sf_dir)))(_build))
+    register(f"correlation_summary_{_key}", correlation_summary_sql(_src, _cols))(
+        (lambda b: lambda spark, sf_dir: correlation_summary(b(spark, sf_dir)))(_build))
