@@ -231,7 +231,14 @@ class TableMetrics:
             wavg(is_str & key.isNotNull(), tkey.try_cast("timestamp").isNotNull().cast("int")).alias("dt_rate"),
             F.coalesce(wsum(is_str & key.isNotNull() & ~tkey.rlike("^[0-9]+$")), F.lit(0)).alias("nondigit"),
             F.min(F.when(present_text, key)).alias("min_text"),
-        ).withColumn("num_mean", F.try_divide(F.col("num_sum"), F.col("num_count")))
+            # distinct values and the mode (ties: smallest value) in the same pass
+            F.count(key).alias("unique_count"),
+            F.min_by(F.when(key.isNotNull(), F.struct(key.alias("key"), n.alias("n"))),
+                     F.when(key.isNotNull(), F.struct((-n).alias("neg_n"), key.alias("key")))).alias("top"),
+            F.min(F.when(key.isNotNull(), n)).alias("min_freq"),
+            F.max(F.when(key.isNotNull(), n)).alias("max_freq"),
+        ).withColumn("num_mean", F.try_divide(F.col("num_sum"), F.col("num_count"))) \
+            .withColumn("top_value", F.col("top.key")).withColumn("top_freq", F.col("top.n")).drop("top")
         # second pass over the (small) value counts: centred moments
         centred = vc.where(num.isNotNull()).join(F.broadcast(first.select("ord", "num_mean")), "ord").select(
             "ord", "n", (num - F.col("num_mean")).alias("d")
@@ -241,6 +248,7 @@ class TableMetrics:
         )
         out = first.join(centred, "ord", "left")
         cnt, m2, m3 = F.col("num_count"), F.col("m2"), F.col("m3")
+        # one row per column: kept, since quantile planning and the column frame both read it
         return out.select(
             "*",
             F.when(cnt > 1, F.sqrt(m2 / (cnt - 1))).alias("num_std"),
@@ -248,23 +256,12 @@ class TableMetrics:
             F.when(cnt > 0, F.sqrt(m2 / cnt)).alias("num_std_pop"),
             # population g1 = √n · m3 / m2^1.5 (undefined for a constant column)
             F.when(m2 > 0, F.sqrt(cnt) * m3 / F.pow(m2, 1.5)).alias("num_skew_pop"),
-        ).drop("m2", "m3")
+        ).drop("m2", "m3").cache()
 
     @cached_property
     def value_stats(self) -> DataFrame:
-        vc = self.value_counts
-        order = F.struct((-F.col("n")).alias("neg_n"), F.col("key"))
-        return vc.groupBy("ord").agg(
-            F.count(F.lit(1)).alias("unique_count"),
-            F.min_by(F.struct("key", "n"), order).alias("top"),
-            F.min("n").alias("min_freq"),
-            F.max("n").alias("max_freq"),
-        ).select(
-            "ord", "unique_count",
-            F.col("top.key").alias("top_value"),
-            F.col("top.n").alias("top_freq"),
-            "min_freq", "max_freq",
-        )
+        """(ord, unique_count, top_value, top_freq, min_freq, max_freq)."""
+        return self.moments.select("ord", "unique_count", "top_value", "top_freq", "min_freq", "max_freq")
 
     @cached_property
     def quantiles(self) -> DataFrame:
@@ -307,7 +304,6 @@ class TableMetrics:
         joined = (
             self.schema_frame
             .join(m, "ord", "left")
-            .join(self.value_stats, "ord", "left")
             .join(self.quantiles, "ord", "left")
             .join(self.sequential_pairs, "ord", "left")
         )
