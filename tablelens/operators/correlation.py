@@ -71,28 +71,30 @@ def eligible_columns(df_or_metrics) -> list[tuple[int, str]]:
 def pair_correlations(df: DataFrame, cols: list[tuple[int, str]], digits: int = 3,
                       complete: set[str] | None = None) -> DataFrame:
     """(ord1, ord2, column1, column2, n, r) for every pair of ``cols``
-    ((ordinal, name), in column order), in one aggregate per chunk of pairs.
-
-    ``complete``: columns known to have no missing value; a pair of them
-    needs no pairwise masking, so its ``stddev_pop`` terms are the same
-    expressions for every pair and Catalyst computes each column's once.
+    ((ordinal, name), in column order), pairwise-complete, in one pass.
+
+    Few columns: one aggregate with a (count, covariance, two deviations)
+    term per pair; columns known to have no missing value (``complete``)
+    need no pairwise masking, so their ``stddev_pop`` terms are shared.
+    Many columns: the values are exploded into (i, j, a, b) pairs and
+    grouped by (i, j) — the plan stays the same size whatever the width,
+    the data is read once, and partial aggregation leaves one row per pair
+    per task to shuffle.
     """
     complete = complete or set()
-    ords = [o for o, _ in cols]
-    names = [n for _, n in cols]
     spark = df.sparkSession
     schema = "ord1 int, ord2 int, column1 string, column2 string, n long, r double"
-    if len(names) < 2:
+    if len(cols) < 2:
         return spark.createDataFrame([], schema)
+    ords = [o for o, _ in cols]
+    names = [n for _, n in cols]
     cs = {s.name: s for s in column_specs(df.select(*[col_ref(n) for n in names]))}
-    vals = {n: clean_numeric(cs[n], col_ref(n)) for n in names}
+    vals = [clean_numeric(cs[n], col_ref(n)) for n in names]
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[start:start + PAIRS_PER_JOB]
+    if len(pairs) <= PAIRS_PER_JOB:
         aggs, entries = [], []
-        for k, (i, j) in enumerate(chunk):
-            a, b = vals[names[i]], vals[names[j]]
+        for k, (i, j) in enumerate(pairs):
+            a, b = vals[i], vals[j]
             if names[i] in complete and names[j] in complete:
                 n = F.count(F.lit(1))
                 r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
@@ -104,8 +106,22 @@ def pair_correlations(df: DataFrame, cols: list[tuple[int, str]], digits: int =
                 F.lit(names[i]).alias("column1"), F.lit(names[j]).alias("column2"),
                 F.col(f"n{k}").cast("long").alias("n"), F.col(f"r{k}").alias("r"),
             ))
-        part = df.agg(*aggs).select(F.inline(F.array(*entries)))
-        out = part if out is None else out.unionByName(part)
+        out = df.agg(*aggs).select(F.inline(F.array(*entries)))
+    else:
+        v = df.select(F.array(*vals).alias("v"))
+        left = v.select(F.posexplode("v").alias("i", "a"), "v").where(F.col("a").isNotNull())
+        both = left.select("i", "a", F.posexplode("v").alias("j", "b")).where(
+            (F.col("i") < F.col("j")) & F.col("b").isNotNull())
+        agg = both.groupBy("i", "j").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"),
+        )
+        # every pair, including pairs that share no row (n = 0)
+        index = spark.createDataFrame(
+            [(i, j, ords[i], ords[j], names[i], names[j]) for i, j in pairs],
+            "i int, j int, ord1 int, ord2 int, column1 string, column2 string")
+        out = index.join(agg, ["i", "j"], "left").select(
+            "ord1", "ord2", "column1", "column2", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "r")
     return out.withColumn("r", F.round(usable_r(F.col("n"), F.col("r")), digits) + F.lit(0.0))
 
 

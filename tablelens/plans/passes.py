@@ -135,6 +135,18 @@ def long_form(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     return df.select(F.inline(F.array(*entries)))
 
 
+def _rebuilt(small: DataFrame) -> DataFrame:
+    """A per-column frame (one row per column, bounded by the schema) as a
+    fresh frame with a short plan.
+
+    Every later rule is planned against this frame; rebuilding it from its
+    rows keeps the analysis of those rules independent of the width of the
+    unpivot and identifier expressions below it.
+    """
+    rows = small.collect()
+    return small.sparkSession.createDataFrame(rows, small.schema).cache()
+
+
 def _inf(c: Column) -> Column:
     return F.abs(c) == F.lit(float("inf"))
 
@@ -318,7 +330,7 @@ class TableMetrics:
             F.when(F.col("kind") == "complex", F.lit(None).cast("long"))
             .otherwise(F.coalesce(F.col("unique_count"), F.lit(0)).cast("long")),
         )
-        return materialize(out)
+        return _rebuilt(out)
 
     @cached_property
     def identified(self) -> DataFrame:
@@ -326,7 +338,7 @@ class TableMetrics:
         are long expressions that every later rule would otherwise inline)."""
         from tablelens.operators.identifiers import identifier_columns
 
-        return identifier_columns(self.columns).cache()
+        return _rebuilt(identifier_columns(self.columns))
 
     @cached_property
     def rows(self) -> dict[str, Row]:

@@ -2,8 +2,9 @@
 validation (S1, S2, S4, S5).
 
 Inference is one distributed pass: the file is read as text columns, NA
-tokens become null, and a single aggregate counts, per column, how many
-present values parse as boolean / integer / double.  The final projection
+tokens become null, the values are unpivoted to (column, value) and one
+grouped aggregate counts, per column, how many present values parse as
+boolean / integer / double (the plan does not grow with the width).  The final projection
 applies ``try_cast`` with the chosen types; nothing is collected but one
 row of counts per file.
 """
@@ -56,17 +57,24 @@ def infer_types(text: DataFrame) -> dict[str, str]:
     cols = text.columns
     if not cols:
         return {}
-    aggs = []
-    for i, c in enumerate(cols):
-        v = col_ref(c)
-        aggs += [
-            F.count(v).alias(f"p{i}"),
-            F.count(F.lit(1)).alias(f"n{i}"),
-            F.count_if(v.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
-            F.count_if(v.rlike(INT_PATTERN) & v.try_cast("long").isNotNull()).alias(f"i{i}"),
-            F.count_if(v.try_cast("double").isNotNull()).alias(f"d{i}"),
-        ]
-    r = text.agg(*aggs).first()  # one row of 5 counts per column
+    # one pass whatever the width: values unpivoted to (i, v), counted per column
+    long = text.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), col_ref(c).alias("v")) for i, c in enumerate(cols)
+    ])))
+    v = F.col("v")
+    counts = long.groupBy("i").agg(
+        F.count(v).alias("p"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(v.isin(TRUE_TOKENS + FALSE_TOKENS)).alias("b"),
+        F.count_if(v.rlike(INT_PATTERN) & v.try_cast("long").isNotNull()).alias("i_ok"),
+        F.count_if(v.try_cast("double").isNotNull()).alias("d"),
+    ).collect()  # one row per column
+    r: dict = {}
+    for row in counts:
+        i = row["i"]
+        r.update({f"p{i}": row["p"], f"n{i}": row["n"], f"b{i}": row["b"], f"i{i}": row["i_ok"], f"d{i}": row["d"]})
+    if not counts:  # no rows at all
+        r = {f"{k}{i}": 0 for i in range(len(cols)) for k in "pnbid"}
     out = {}
     for i, c in enumerate(cols):
         present, rows = r[f"p{i}"], r[f"n{i}"]
