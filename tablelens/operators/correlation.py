@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablelens.operators.profile import metrics_of
 from tablelens.plans.passes import clean_numeric, col_ref, column_specs
+from tablelens.session import conf_override
 
 PAIRS_PER_JOB = 60
 MIN_ALIGNED = 3
@@ -30,6 +31,15 @@ def safe_corr(a: Column, b: Column) -> tuple[Column, Column]:
     return F.count_if(both), r
 
 
+def safe_corr_parts(a: Column, b: Column, present: Column) -> list[Column]:
+    """``n`` and ``r`` aggregates of a pair, counting only rows where both are present."""
+    a2, b2 = F.when(present, a), F.when(present, b)
+    return [
+        F.count_if(present).alias("n"),
+        F.try_divide(F.covar_pop(a2, b2), F.stddev_pop(a2) * F.stddev_pop(b2)).alias("r"),
+    ]
+
+
 def usable_r(n: Column, r: Column, min_rows: int = MIN_ALIGNED) -> Column:
     """Undefined, non-finite or under-supported → 0.0."""
     bad = r.isNull() | F.isnan(r) | (F.abs(r) == F.lit(float("inf"))) | (n < min_rows)
@@ -109,19 +119,26 @@ def pair_correlations(df: DataFrame, cols: list[tuple[int, str]], digits: int =
         out = df.agg(*aggs).select(F.inline(F.array(*entries)))
     else:
         v = df.select(F.array(*vals).alias("v"))
-        left = v.select(F.posexplode("v").alias("i", "a"), "v").where(F.col("a").isNotNull())
-        both = left.select("i", "a", F.posexplode("v").alias("j", "b")).where(
-            (F.col("i") < F.col("j")) & F.col("b").isNotNull())
-        agg = both.groupBy("i", "j").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"),
-        )
-        # every pair, including pairs that share no row (n = 0)
-        index = spark.createDataFrame(
-            [(i, j, ords[i], ords[j], names[i], names[j]) for i, j in pairs],
-            "i int, j int, ord1 int, ord2 int, column1 string, column2 string")
-        out = index.join(agg, ["i", "j"], "left").select(
-            "ord1", "ord2", "column1", "column2", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "r")
+        left = v.select(F.posexplode("v").alias("i", "a"), "v")
+        both = left.select("i", "a", F.posexplode("v").alias("j", "b")).where(F.col("i") < F.col("j"))
+        # masking inside the aggregates (not null filters on the generated
+        # values, which make constraint inference blow up on wide inputs)
+        a, b = F.col("a"), F.col("b")
+        present = a.isNotNull() & b.isNotNull()
+        agg = both.groupBy("i", "j").agg(*safe_corr_parts(a, b, present))
+        # one row per pair (bounded by the schema): every pair is listed, also
+        # pairs that share no row (n = 0), without a join in the data plan
+        # the filter on generated pair indices makes constraint inference
+        # exponential in the number of aliased input columns; the collect is
+        # planned without it (nothing here benefits from inferred filters)
+        with conf_override(spark, "spark.sql.constraintPropagation.enabled", "false"):
+            collected = agg.collect()
+        got = {(r["i"], r["j"]): (r["n"], r["r"]) for r in collected}
+        rows = []
+        for i, j in pairs:
+            n, r = got.get((i, j), (0, None))
+            rows.append((ords[i], ords[j], names[i], names[j], int(n), None if r is None else float(r)))
+        out = spark.createDataFrame(rows, schema)
     return out.withColumn("r", F.round(usable_r(F.col("n"), F.col("r")), digits) + F.lit(0.0))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,21 @@ def local_session(master: str | None = None, app: str = "tablelens") -> SparkSes
     return spark
 
 
+@contextmanager
+def conf_override(spark: SparkSession, key: str, value: str):
+    """Set one SQL setting for the duration of a block (the actions inside
+    it are planned with it), then restore the previous value."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
     tests) create a private scratch folder for it."""

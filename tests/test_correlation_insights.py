@@ -88,3 +88,24 @@ def test_exploded_pairs_match_pandas(spark, monkeypatch):
         assert len(got) == 15
         for (a, b), r in got.items():
             assert abs(r - round(expected.loc[a, b], 3)) < 1e-9, (per_job, a, b, r, expected.loc[a, b])
+
+
+def test_id_formats(spark):
+    """Three identifier columns excluded, four features kept."""
+    rows = [(f"CUST_{i:04d}", 5000 + i * 7, i + 1, 0.5 + (i * 37 % 23) / 10, 1.0 + (i * 11 % 17) / 3,
+             float(100 + i * 13 % 41), (i * 29 % 19) / 19) for i in range(50)]
+    df = spark.createDataFrame(rows, "CustomerID string, user_id bigint, row_id bigint, grid_stability double, "
+                                     "fluid_flow double, total_spend double, churn_rate double")
+    kept = {r["column1"] for r in correlations(df).collect()} | {r["column2"] for r in correlations(df).collect()}
+    assert kept == {"grid_stability", "fluid_flow", "total_spend", "churn_rate"}
+
+
+def test_wide_table(spark):
+    from pyspark.sql import functions as F
+
+    cols = [((F.col("id") * (i + 7)) % 31 + F.col("id") % 3 * 0.25).alias(f"n{i}") for i in range(20)]
+    cols += [F.concat(F.lit("c"), (F.col("id") % (i + 2)).cast("string")).alias(f"s{i}") for i in range(20)]
+    df = spark.range(400).select(*cols)
+    res = analyze(df)
+    assert res["correlations"].count() == 190  # 20 numeric columns, all pairs, exploded path
+    assert res["statistics"].count() == 40 and res["distributions"].count() > 0
