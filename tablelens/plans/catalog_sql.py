@@ -279,3 +279,28 @@ def q_csv_roundtrip(spark, sf_dir):
         F.round(F.sum("o_totalprice"), 2).alias("price_sum"),
         F.count_distinct("o_orderstatus").alias("statuses"), F.count_distinct("o_orderpriority").alias("priorities"),
     )
+
+
+@register("csv_validate_orders",
+          "SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(6 AS BIGINT) AS column_count, CAST(0 AS BIGINT) AS bad_rows, "
+          "true AS header_ok, count(*) > 0 AS is_valid, 'OK' AS message FROM orders")
+def q_csv_validate(spark, sf_dir):
+    from tablelens.session import ensure_checkpoint_dir
+    from tablelens.sources.csv import validate_csv, write_csv
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-csv/orders-valid-{abs(hash(sf_dir)) % 10**8}"
+    # one file, so the header line is the file's first line
+    write_csv(table(spark, sf_dir, "orders").coalesce(1), path)
+    return validate_csv(spark, path)
+
+
+# the name rule of the templates does not see "o_orderkey" as an id ("key" must
+# follow "_" or a space), so the first measure of orders is o_orderkey
+@register("suggested_total_by_category_orders",
+          "SELECT o_orderstatus, CAST(sum(o_orderkey) AS BIGINT) AS total_o_orderkey FROM orders "
+          "GROUP BY o_orderstatus ORDER BY total_o_orderkey DESC, o_orderstatus LIMIT 10")
+def q_suggest(spark, sf_dir):
+    from tablelens.operators.templates import suggest_aggregates
+
+    suggested = suggest_aggregates(table(spark, sf_dir, "orders"))
+    return suggested["total_o_orderkey_by_o_orderstatus"]
