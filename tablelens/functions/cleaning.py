@@ -77,9 +77,3 @@ def sanitize(df, places: int = 4):
         else:
             out.append(F.col(name))
     return df.select(*out)
-
-
-def clean_category(c: Column) -> Column:
-    """Category label: whole floats as integers, trimmed, blank → "Empty"."""
-    s = F.trim(c.cast("string"))
-    return F.when(c.isNull(), F.lit("Missing")).when(s == "", F.lit("Empty")).otherwise(s)

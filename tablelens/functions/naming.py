@@ -138,16 +138,6 @@ def target_keyword_hit(name: Column) -> Column:
     return F.exists(F.array(*[F.lit(k) for k in TARGET_KEYWORDS]), lambda k: F.instr(low, k) > 0)
 
 
-def is_sql_id_name(name: Column) -> Column:
-    """Identifier rule used for SQL templates (note: any name ending in "id")."""
-    c = F.lower(F.trim(name))
-    return (
-        c.isin(SQL_ID_NAMES)
-        | c.rlike(SQL_ID_SUFFIX_PATTERN)
-        | (c.endswith("id") & (F.length(c) > 2))
-    )
-
-
 def is_year_name(name: Column) -> Column:
     low = F.lower(name)
     return (F.instr(low, "year") > 0) | (F.instr(low, "yr") > 0)

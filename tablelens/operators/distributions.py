@@ -24,8 +24,6 @@ DEFAULT_BINS = 8
 DISCRETE_MAX_DISTINCT = 14
 DATETIME_MIN_RATE = 0.8
 
-OUT_COLS = ["ord", "type", "position", "value", "label", "lower", "upper", "count", "percentage"]
-
 
 def _pct1(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole * 100.0, 1)).otherwise(F.lit(0.0))

@@ -17,7 +17,6 @@ from tablelens.operators.identifiers import identifiers
 from tablelens.operators.profile import profile, statistics
 from tablelens.operators.quality import duplicate_rows, quality_columns, quality_summary
 from tablelens.plans import oracle as O
-from tablelens.plans.passes import TableMetrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -153,9 +153,6 @@ FROM (
 # distributions
 # ---------------------------------------------------------------------------
 
-OUT = "column_name, ordinal, type, position, value, label, lower, upper, count, percentage"
-
-
 def _row(name: str, i: int, type_: str, pos: str, value: str, lower: str, upper: str, cnt: str, pct: str) -> str:
     return (
         f"SELECT {lit(name)} AS column_name, CAST({i} AS BIGINT) AS ordinal, {lit(type_)} AS type, "
