@@ -126,6 +126,8 @@ def value_key(spec: ColumnSpec, c: Column) -> tuple[Column, Column]:
 
 def long_form(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     """Unpivot all columns into (ord int, key string, num double)."""
+    if not specs:
+        return df.sparkSession.createDataFrame([], "ord int, key string, num double")
     entries = []
     for s in specs:
         key, num = value_key(s, col_ref(s.name))
