@@ -211,6 +211,9 @@ PART_QUANTITY_SQL = "(SELECT l_partkey, l_quantity FROM lineitem)"
 ORDERS_1995_SQL = "(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')"
 
 
+# One calendar year of orders: a date range under 730 days switches the time
+# distribution to monthly periods (the feature being checked), where the full
+# table spans six years and yields yearly ones.  Not a row cap.
 def orders_1995(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
 
