@@ -161,8 +161,12 @@ class TableMetrics:
     per column, bounded by the schema) for decisions that shape later plans.
     """
 
-    def __init__(self, df: DataFrame, quantile_map_limit: int = 2_000_000, reliable: bool = False):
+    def __init__(self, df: DataFrame, quantile_map_limit: int = 2_000_000, reliable: bool = False,
+                 with_quantiles: bool = True):
         self.df = df
+        # without quantiles the column frame carries null q25 / median / q75
+        # (enough for identifier, constant and leakage rules)
+        self.with_quantiles = with_quantiles
         self.spark = df.sparkSession
         self.specs = column_specs(df)
         self.quantile_map_limit = quantile_map_limit
@@ -318,7 +322,9 @@ class TableMetrics:
         joined = (
             self.schema_frame
             .join(m, "ord", "left")
-            .join(self.quantiles, "ord", "left")
+            .join(self.quantiles if self.with_quantiles
+                  else self.spark.createDataFrame([], "ord int, q25 double, median double, q75 double"),
+                  "ord", "left")
             .join(self.sequential_pairs, "ord", "left")
         )
         # every column's group holds one entry per row, so n_rows is the table's row count
