@@ -11,14 +11,16 @@ Two strategies, chosen per column by its distinct count:
   column's distinct count is below a limit (a proven memory bound).
 * bucketed exact — for columns with more distinct values than that: cut
   points from ``percentile_approx`` over the distinct values split each
-  column into ``buckets`` ranges of about equal distinct count; bucket
-  totals (a few hundred rows per column) locate the bucket holding each
-  wanted rank; only those buckets are ranked with a window, each one a
-  ``1/buckets`` slice of the column.  No task ever holds a whole column.
+  column into ``buckets`` ranges of about equal distinct count (each value
+  finds its range by binary search, ``Bucketizer``); bucket totals (a few
+  hundred rows per column) locate the bucket holding each wanted rank;
+  only those buckets are ranked with a window, each one a ``1/buckets``
+  slice of the column.  No task ever holds a whole column.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +52,22 @@ def bucketed_quantiles(vc: DataFrame, probs: list[float], buckets: int = 256) ->
     fracs = [i / buckets for i in range(1, buckets)]
     cuts = vc.groupBy("ord").agg(
         F.sum("n").alias("N"),
-        F.percentile_approx("num", fracs, 10000).alias("cuts"),
-    )
-    # one row per column with `buckets` doubles: bounded by the schema width
-    cuts = F.broadcast(cuts)
-    vb = vc.join(cuts.select("ord", "cuts"), "ord").select(
-        "ord", "num", "n",
-        F.size(F.filter("cuts", lambda x: x < F.col("num"))).alias("b"),
+        F.percentile_approx("num", fracs, max(10000, 8 * buckets)).alias("cuts"),
     )
+    # one row per large column with `buckets` doubles: bounded by the schema width
+    cut_rows = cuts.collect()
+    cuts = vc.sparkSession.createDataFrame([(r["ord"], r["N"], r["cuts"]) for r in cut_rows],
+                                           "ord int, N long, cuts array<double>")
+    # bucket of each value: a binary search over the column's cut points
+    # (Bucketizer, JVM side), one projection per large column
+    vb = None
+    for r in cut_rows:
+        splits = [float("-inf")] + sorted(set(float(x) for x in r["cuts"])) + [float("inf")]
+        part = Bucketizer(splits=splits, inputCol="num", outputCol="b").transform(
+            vc.where(F.col("ord") == r["ord"])).select("ord", "num", "n", F.col("b").cast("int").alias("b"))
+        vb = part if vb is None else vb.unionByName(part)
+    if vb is None:
+        return vc.sparkSession.createDataFrame([], "ord int, q array<double>")
     bstat = vb.groupBy("ord", "b").agg(F.sum("n").alias("bn"))
     before = Window.partitionBy("ord").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     bcum = bstat.withColumn("before", F.coalesce(F.sum("bn").over(before), F.lit(0)))

@@ -290,7 +290,9 @@ class TableMetrics:
         uniq = {r["ord"]: r["unique_count"] for r in self.value_stats.where(F.col("ord").isin(num_ords)).collect()} \
             if num_ords else {}
         large = [o for o, u in uniq.items() if u > self.quantile_map_limit]
-        q = exact_quantiles(vc.select("ord", "num", "n"), QUANTILES, large_ords=large)
+        # about a million distinct values per bucket on the widest column
+        buckets = max(256, min(16384, max((uniq[o] for o in large), default=0) // 1_000_000))
+        q = exact_quantiles(vc.select("ord", "num", "n"), QUANTILES, large_ords=large, buckets=buckets)
         return q.select(
             "ord",
             F.col("q")[0].alias("q25"),
