@@ -64,3 +64,13 @@ def test_time_granularity(spark):
     assert {r["value"] for r in y} == {str(v) for v in range(2020, 2031)} - {"2020"}
     s = distributions(strings).collect()
     assert all(r["type"] == "time" for r in s)
+
+
+def test_boolean_is_categorical(spark):
+    from tablelens.operators.profile import statistics
+
+    df = spark.createDataFrame([(True,)] * 7 + [(False,)] * 3 + [(None,)], "flag boolean")
+    rows = {r["value"]: r for r in distributions(df).collect()}
+    assert set(rows) == {"True", "False"} and rows["True"]["count"] == 7 and rows["True"]["type"] == "frequency"
+    st = statistics(df).first()
+    assert st["semantic_type"] == "boolean" and st["top_value"] == "True" and st["top_pct"] == 70.0
