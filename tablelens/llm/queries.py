@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import bpe, decontaminate
+from tablelens.llm import bpe, decontaminate, lshforest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,8 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 @_query("op1_decontamination", _OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op10_minhash_neardup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
