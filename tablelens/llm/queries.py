@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, decontaminate, lshforest
+from tablelens.llm import bpe, decontaminate, language, lshforest, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +56,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_minhash_neardup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
+@_query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.counted(secrets.find_secrets(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+@_query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = language.held_out("doc_id", 4, 2)
+    return language.languages(docs, F.coalesce(~held, F.lit(False))).withColumn("held_out", F.coalesce(held, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
