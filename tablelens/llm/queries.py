@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, decontaminate, language, lshforest, secrets
+from tablelens.llm import bpe, decontaminate, language, lshforest, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +68,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = language.held_out("doc_id", 4, 2)
     return language.languages(docs, F.coalesce(~held, F.lit(False))).withColumn("held_out", F.coalesce(held, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(language.held_out("doc_id", 5, 0), F.lit(False))
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held)
+    return toxicity.scored(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted")
