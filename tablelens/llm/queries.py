@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, decontaminate, language, lshforest, secrets, toxicity
+from tablelens.llm import bpe, decontaminate, language, lshforest, pagetext, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(language.held_out("doc_id", 5, 0), F.lit(False))
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held)
     return toxicity.scored(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(_table(spark, sf_dir, "pages"))
