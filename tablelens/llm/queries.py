@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, decontaminate, language, lshforest, pagetext, secrets, toxicity
+from tablelens.llm import bpe, decontaminate, language, lshforest, neighbours, pagetext, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_html_extraction")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.main_text(_table(spark, sf_dir, "pages"))
+
+
+@_query("op8_nearest_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
