@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, decontaminate, language, lshforest, neighbours, pagetext, secrets, toxicity
+from tablelens.llm import bpe, decontaminate, language, licenses, lshforest, neighbours, pagetext, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_nearest_neighbours")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query("op9_license_scan", licenses.sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
