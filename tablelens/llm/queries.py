@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, decontaminate, language, licenses, lshforest, neighbours, pagetext, secrets, toxicity
+from tablelens.llm import bpe, decontaminate, language, licenses, lshforest, neighbours, pagetext, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_license_scan", licenses.sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query("op6_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_table(spark, sf_dir, "documents"))
