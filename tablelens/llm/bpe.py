@@ -257,8 +257,8 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids array<int>, offsets array<int> (byte offsets of the tokens, and the end)."""
+def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, the carried columns, ids array<int>, offsets array<int> (byte offsets of the tokens, and the end)."""
     codec = _codec(docs, ranks_path)
     out = StructType().add("ids", ArrayType(IntegerType(), False)).add("offsets", ArrayType(IntegerType(), False))
 
@@ -272,7 +272,7 @@ def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "t
 
         return work
 
-    return map_text(docs, text, out, make, (key,))
+    return map_text(docs, text, out, make, (key, *carry))
 
 
 def decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:

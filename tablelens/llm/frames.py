@@ -79,6 +79,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that a filter broadcasts at most; beyond it the join is shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among ``keys``. Few keys are broadcast, so the rows need no shuffle."""
+    some = stored(keys.select(key).distinct())
+    return df.join(F.broadcast(some) if some.count() <= BROADCAST_KEYS else some, key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     """Rows of consecutive values; ``ends`` has the end of each row."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from tablelens.llm.frames import lists, map_text, stored
+from tablelens.llm.frames import lists, map_text, stored, without
 
 TREES, DEPTH = 12, 8
 LEAST_DEPTH, NEIGHBOURS = 3, 8
@@ -228,3 +228,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     out = rows.select("id", "n", "class").join(whole, "class", "left")
     group = F.coalesce("root", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("id") == group, group.isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = SIMILARITY) -> DataFrame:
+    """The documents with one row of each component: that of its smallest key. Rows without a key stay."""
+    found = stored(near_duplicates(docs, key, text, size, percent))
+    left = without(docs, found.filter(~F.col("kept") & F.col(key).isNotNull()), key)
+    repeated = stored(found.filter("kept").groupBy(key).count().filter("count > 1").dropna().select(key))
+    if repeated.isEmpty():
+        return left
+    return without(left, repeated, key).unionByName(left.join(repeated, key, "left_semi").dropDuplicates([key]).select(*left.columns))
