@@ -78,14 +78,16 @@ def parse_table(text: bytes, classes: np.ndarray, width: int) -> np.ndarray:
     The last class pads rows and changes nothing; the one before is for bytes never seen.
     """
     edges = suffix_automaton(text)
-    table = np.full((len(edges), width), -1, np.int64)
+    alone = len(edges)  # after a byte that the text lacks, which is a phrase of its own
+    table = np.full((alone + 1, width), -1, np.int64)
     for state, out in enumerate(edges):
         for c, to in out.items():
             table[state, classes[c]] = to
-    missing = table < 0
-    afresh = np.where(table[0] < 0, 0, table[0])
-    table = np.where(missing, afresh[None, :], table) * width * 2 + missing
-    table[:, width - 1] = np.arange(len(edges)) * width * 2
+    ends = table < 0
+    ends[0] = False  # a row starts its first phrase there
+    afresh = np.where(table[0] < 0, alone, table[0])
+    table = np.where(table < 0, afresh[None, :], table) * width * 2 + ends
+    table[:, width - 1] = np.arange(alone + 1) * width * 2
     return table.astype(np.int32).ravel()
 
 
