@@ -9,9 +9,9 @@ long prefixes and in a sparse one short ones.  In a region each row also pairs
 with the region's first row, which keeps large groups connected by stars.
 
 Texts with equal shingle sets form one class first, so copies cost nothing
-more.  Candidates are confirmed on full sets, the deepest first; pairs whose
-ends are connected by then need no confirmation, so a group of near copies is
-never compared all with all.  Classes are connected by alternating large and
+more.  Candidates are confirmed on full sets, each row's best first; pairs
+whose ends are connected by then need no confirmation, so a group of near
+copies is never compared all with all.  Classes are connected by alternating large and
 small stars (Kiveris et al. 2014) as Spark joins.
 
 Words: A-Z lower-cased, split at white space.  A set: the distinct shingles of
@@ -40,6 +40,8 @@ TREES, DEPTH = 12, 8
 LEAST_DEPTH, NEIGHBOURS = 3, 8
 #: Percent of the union that linked sets share.
 SIMILARITY = 80
+#: Rounds in which each row's best open candidate is confirmed, before all that are left.
+ROUNDS = 2
 CACHED_WORDS = 400_000
 #: Ids of candidates that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -59,6 +61,10 @@ class _Hashes(dict):
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
+    def trim(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+
 
 def shingle_set(text: bytes, size: int, hashes: dict) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles."""
@@ -88,102 +94,116 @@ def signature(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best.astype(">u4")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """key, n (set size), class (128-bit digest of the set), grams (the set), sig (all trees' values)."""
-    out = StructType().add("n", LongType()).add("class", BinaryType()).add("grams", ArrayType(LongType(), False)).add("sig", BinaryType())
+def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """id, n (set size), class (128-bit digest of the set), sig (all trees' values)."""
+    out = StructType().add("n", LongType()).add("class", BinaryType()).add("sig", BinaryType())
 
     def make():
         a, b = minhash_functions()
         hashes = _Hashes()
 
         def work(column: pa.Array):
-            ns, classes, grams, sigs = [], [], [], []
+            ns, classes, sigs = [], [], []
             for t in column.cast(pa.binary()).to_pylist():
                 x = shingle_set(t, size, hashes) if t else np.zeros(0, np.uint64)
                 ns.append(len(x))
                 classes.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                grams.append(x.view(np.int64))
                 sigs.append(signature(x, a, b).tobytes() if len(x) else b"")
-            if len(hashes) > CACHED_WORDS:
-                hashes.clear()
-            return ns, classes, lists(np.concatenate(grams), np.cumsum(ns)), sigs
+            hashes.trim()
+            return ns, classes, sigs
 
         return work
 
     return map_text(docs, text, out, make, (F.col(key).alias("id"),))
 
 
-def neighbours(trees: DataFrame) -> DataFrame:
-    """a, b, depth: pairs of rows (tree, sig, id) that stand near each other in a tree's order."""
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """id, grams (the whole set)."""
+
+    def make():
+        hashes = _Hashes()
+
+        def work(column: pa.Array):
+            sets = [shingle_set(t or b"", size, hashes).view(np.int64) for t in column.cast(pa.binary()).to_pylist()]
+            hashes.trim()
+            return [lists(np.concatenate(sets), np.cumsum([len(x) for x in sets]))]
+
+        return work
+
+    return map_text(docs, text, StructType().add("grams", ArrayType(LongType(), False)), make, (F.col(key).alias("id"),))
+
+
+def neighbours(trees: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """a, b, score: pairs of rows (tree, sig, id, n) that stand near each other in trees' orders.
+
+    The score sums the common prefixes over the trees.  Pairs whose sizes differ too much for a link are left out.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What the next batch must still see: the last rows, and the first row of the region they are in.
-        rest_t, rest_s, rest_i = np.zeros(0, np.int32), np.zeros((0, DEPTH), np.uint32), np.zeros(0, np.int64)
-        head, ends = None, []
+        t, s = np.zeros(0, np.int32), np.zeros((0, DEPTH), np.uint32)
+        i, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        head = None
+        first: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = np.concatenate([rest_t, batch.column(0).to_numpy()])
-            s = np.concatenate([rest_s, np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)])
-            i = np.concatenate([rest_i, batch.column(2).to_numpy()])
-            old = len(rest_i)
-            if not ends:
-                ends += list(range(min(NEIGHBOURS, len(i))))
-                first = [(t[j], s[j], i[j]) for j in ends]
+            old = len(i)
+            t = np.concatenate([t, batch.column(0).to_numpy()])
+            s = np.concatenate([s, np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)])
+            i, n = np.concatenate([i, batch.column(2).to_numpy()]), np.concatenate([n, batch.column(3).to_numpy()])
+            if not first:
+                first = list(zip(t, s, i, n))[:NEIGHBOURS]
             same = (s[1:] == s[:-1]) & (t[1:] == t[:-1])[:, None]
             lcp = np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1)  # of each row and its successor
-            pairs = []
-            shared = lcp.copy()
-            for j in range(1, NEIGHBOURS + 1):
-                if j >= len(i):
-                    break
-                if j > 1:
-                    shared = np.minimum(shared[:-1], lcp[j - 1 :])
-                at = np.flatnonzero(shared >= LEAST_DEPTH)
-                at = at[at + j >= old]  # the others were made with the batch before
-                pairs.append((i[at], i[at + j], shared[at]))
             start = np.append(True, lcp < LEAST_DEPTH)
             lead = np.maximum.accumulate(np.where(start, np.arange(len(i)), 0))
-            leader = i[lead]
+            lead_i, lead_n = i[lead], n[lead]
             if head is not None:  # the region that began in an earlier batch
-                leader[lead == 0] = head
+                lead_i[lead == 0], lead_n[lead == 0] = head
             at = np.arange(old, len(i))
-            at = at[leader[at] != i[at]]
-            pairs.append((leader[at], i[at], np.full(len(at), LEAST_DEPTH, np.int8)))
-            head = leader[-NEIGHBOURS:][0]
-            rest_t, rest_s, rest_i = t[-NEIGHBOURS:], s[-NEIGHBOURS:], i[-NEIGHBOURS:]
-            a, b, d = (np.concatenate(x) for x in zip(*pairs))
-            yield _batch(a, b, d)
-        if ends:  # the border rows, for the pairs that two partitions share
-            last = list(zip(rest_t, rest_s, rest_i))
-            rows = {(int(x[0]), int(x[2])): x for x in first + last}.values()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(x[2]) for x in rows]), pa.nulls(len(rows), pa.int64()), pa.array([int(x[0]) for x in rows], pa.int32()), pa.array([x[1].astype(">u4").tobytes() for x in rows], pa.binary())],
-                names=["a", "b", "depth", "sig"],
-            )
-
-    def _batch(a, b, d) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d, pa.int32()), pa.nulls(len(a), pa.binary())], names=["a", "b", "depth", "sig"])
-
-    out = "a long, b long, depth int, sig binary"
+            pairs = [(lead_i[at], i[at], np.full(len(at), LEAST_DEPTH), lead_n[at], n[at])]
+            shared = lcp
+            for j in range(1, min(NEIGHBOURS, len(i) - 1) + 1):
+                if j > 1:
+                    shared = np.minimum(shared[:-1], lcp[j - 1 :])
+                at = np.flatnonzero(shared >= LEAST_DEPTH)
+                at = at[at + j >= old]  # the others were made with the batch before
+                pairs.append((i[at], i[at + j], shared[at], n[at], n[at + j]))
+            head = lead_i[-NEIGHBOURS:][0], lead_n[-NEIGHBOURS:][0]
+            t, s, i, n = t[-NEIGHBOURS:], s[-NEIGHBOURS:], i[-NEIGHBOURS:], n[-NEIGHBOURS:]
+            a, b, d, x, y = (np.concatenate(c) for c in zip(*pairs))
+            ok = (a != b) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            a, b, d = a[ok], b[ok], d[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d, pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=names)
+        border = {int(x[2]) + (int(x[0]) << 64): x for x in [*first, *zip(t, s, i, n)]}.values()
+        if border:  # for the pairs that two partitions share
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[2]) for x in border]), pa.nulls(len(border), pa.int64()), pa.array([int(x[3]) for x in border]), pa.array([int(x[0]) for x in border], pa.int32()), pa.array([x[1].astype(">u4").tobytes() for x in border], pa.binary())], names=names)
+
+    names = ["a", "b", "depth", "tree", "sig"]
+    out = "a long, b long, depth long, tree int, sig binary"
     tasks = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = trees.select("tree", "sig", "id")
-    inner = stored(ordered.repartitionByRange(tasks, "tree", "sig", "id").sortWithinPartitions("tree", "sig", "id").mapInArrow(run, out))
+    order = ("tree", "sig", "id")
+    inner = stored(trees.select(*order, "n").repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, out))
     # A few rows from each partition's ends: their number is bounded by the number of partitions.
-    borders = inner.filter("b is null").select(F.col("depth").alias("tree"), "sig", F.col("a").alias("id")).repartition(1).sortWithinPartitions("tree", "sig", "id")
-    both = inner.unionByName(borders.mapInArrow(run, out)).filter("b is not null")
-    return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth")).filter("a < b")
+    ends = inner.filter("b is null").select("tree", "sig", F.col("a").alias("id"), F.col("depth").alias("n")).repartition(1).sortWithinPartitions(*order)
+    both = inner.unionByName(ends.mapInArrow(run, out)).filter("b is not null")
+    return both.groupBy("a", "b").agg(F.sum("depth").alias("score"))
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Distinct ids, to be broadcast if they are few; beyond that the join is shuffled."""
+    some = stored(ids.distinct())
+    return F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets share at least that percent of their union."""
-    size = rows.filter("id is not null").groupBy("id").agg(F.min("n").alias("n"))
-    sized = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    # Sizes alone rule out pairs whose smaller set is under that share of the larger one.
-    like = stored(sized.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    ids = like.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # beyond it, a shuffled join
-    sets = stored(rows.select("id", "grams").join(needed, "id", "left_semi").dropDuplicates(["id"]))
-    ends = like.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    some = sets.join(few(ends_of(pairs)), "id", "left_semi")
+    ends = pairs.select("a", "b").join(some.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(some.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     return ends.filter(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b")
 
@@ -209,21 +229,27 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = SIMILARITY) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the component), kept (key = component_id)."""
-    rows = stored(shingle_sets(docs, key, text, size))
+    rows = stored(signatures(docs, key, text, size))
     # A class: rows of one set. Its id is its smallest key; a class without any key has only itself.
-    classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    heads = classes.filter("rep is not null").select(F.col("rep").alias("id"), "sig")
+    classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")))
+    heads = classes.filter("rep is not null").select(F.col("rep").alias("id"), "sig", "n")
     parts = [F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH).alias("sig")) for t in range(TREES)]
-    trees = heads.select("id", F.explode(F.array(*parts)).alias("x")).select("x.tree", "x.sig", "id")
-    pairs = stored(neighbours(trees))
-    # First the deepest partner of each row, then only what joins different components.
-    deepest = pairs.groupBy("b").agg(F.max_by("a", F.struct("depth", -F.col("a"))).alias("a")).select("a", "b")
-    sure = stored(confirmed(deepest, rows, percent))
-    found = components(sure)
-    root = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = pairs.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    more = stored(confirmed(apart, rows, percent))
-    ends = components(sure.unionByName(more))
+    left = stored(neighbours(heads.select("id", "n", F.explode(F.array(*parts)).alias("x")).select("x.tree", "x.sig", "id", "n"), percent))
+    # Whole sets of the candidates alone, from their texts.
+    named = few(ends_of(left)).withColumnRenamed("id", key)
+    sets = stored(shingle_sets(docs.select(key, text).join(named, key, "left_semi"), key, text, size).dropDuplicates(["id"]))
+    # Each row's best partner first; what joins different components after these rounds, all at last.
+    links = left.select("a", "b").limit(0)
+    for _ in range(ROUNDS):
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+        best = both.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
+        tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = stored(links.unionByName(confirmed(tried, sets, percent)))
+        found = components(links)
+        root = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
+        apart = left.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+        left = stored(apart.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "score"))
+    ends = components(links.unionByName(confirmed(left, sets, percent)))
     whole = classes.join(ends, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("root", "rep").alias("root"))
     out = rows.select("id", "n", "class").join(whole, "class", "left")
     group = F.coalesce("root", "id")

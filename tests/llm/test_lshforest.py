@@ -64,7 +64,7 @@ def test_neighbours_across_partitions(spark):
     rng = np.random.default_rng(2)
     sig = rng.integers(0, 2, (400, L.DEPTH)).astype(">u4")
     rows = [(0, sig[i].tobytes(), i) for i in range(400)]
-    pairs = {(r.a, r.b): r.depth for r in L.neighbours(spark.createDataFrame(rows, "tree int, sig binary, id long")).collect()}
+    pairs = {(r.a, r.b): r.score for r in L.neighbours(spark.createDataFrame([(*r, 5) for r in rows], "tree int, sig binary, id long, n long")).collect()}
     order = sorted(range(400), key=lambda i: (sig[i].tolist(), i))
     for x, y in zip(order, order[1:]):  # each row at least meets its successor if they share enough
         same = int(np.cumprod(sig[x] == sig[y]).sum())
