@@ -1,16 +1,15 @@
 """Registered SQL-surface and template queries.
 
 Each SQL query runs through the guarded :func:`run_sql` over the driver
-tables registered as views; the oracle is the same statement in DuckDB
-(plus the default ``LIMIT 1000`` the guard adds when the text has none, and
-the 4-place rounding the result emission applies to doubles).
+tables registered as views; the oracle is the same statement in DuckDB, with
+all its rows (``sql_guard_default_limit`` alone asks for a cap).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablelens.operators.sqlrun import run_sql, schema_summary
+from tablelens.operators.sqlrun import run_sql, schema_summary, sql_summary
 from tablelens.operators.templates import (
     avg_by,
     column_roles,
@@ -32,12 +31,12 @@ def _views(spark, sf_dir):
     return {t: table(spark, sf_dir, t) for t in VIEW_TABLES}
 
 
-# (name, statement, oracle columns to round to 4 places, guard adds LIMIT 1000)
+# name: (statement, whether the query asks for the default cap)
 SQL_QUERIES = {
     "sql_filter_sort": (
         "SELECT o_orderkey, o_custkey, o_totalprice FROM orders "
         "WHERE o_totalprice > 300000 AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey",
-        True,
+        False,
     ),
     "sql_group": (
         "SELECT l_returnflag, l_linestatus, count(*) AS count_order, sum(l_quantity) AS sum_qty, "
@@ -142,6 +141,31 @@ SQL_QUERIES = {
         "count(DISTINCT l_orderkey) AS orders FROM lineitem",
         False,
     ),
+    "sql_left_join": (
+        "SELECT c.c_custkey, count(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey "
+        "GROUP BY c.c_custkey ORDER BY c.c_custkey",
+        False,
+    ),
+    "sql_self_join": (
+        "SELECT a.n_name AS name, count(*) AS neighbours FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey "
+        "GROUP BY a.n_name ORDER BY name",
+        False,
+    ),
+    "sql_recursive_cte": (
+        "WITH RECURSIVE band(lo) AS (SELECT 0 UNION ALL SELECT lo + 100000 FROM band WHERE lo < 400000) "
+        "SELECT b.lo, count(*) AS n FROM band b JOIN orders o ON o.o_totalprice >= b.lo AND o.o_totalprice < b.lo + 100000 "
+        "GROUP BY b.lo ORDER BY b.lo",
+        False,
+    ),
+    "sql_offset": (
+        "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 25",
+        False,
+    ),
+    "sql_words_in_literals": (
+        "SELECT o_orderpriority AS \"update\", 'drop -- this; table' AS note, count(*) AS n FROM orders "
+        "WHERE o_orderpriority <> 'insert' GROUP BY o_orderpriority /* delete */ ORDER BY 1 -- end",
+        False,
+    ),
     "sql_text_lengths": (
         "SELECT lang, count(*) AS docs, sum(length(text)) AS chars, max(n_chars) AS max_chars "
         "FROM documents GROUP BY lang ORDER BY lang",
@@ -150,14 +174,28 @@ SQL_QUERIES = {
 }
 
 
-def _sql_query(stmt: str):
+def _sql_query(stmt: str, capped: bool):
     def fn(spark, sf_dir):
-        return run_sql(spark, stmt, views=_views(spark, sf_dir))
+        return run_sql(spark, stmt, views=_views(spark, sf_dir), default_limit=1000 if capped else None)
     return fn
 
 
 for _name, (_stmt, _capped) in SQL_QUERIES.items():
-    register(_name, _stmt + (" LIMIT 1000" if _capped else ""))(_sql_query(_stmt))
+    register(_name, _stmt + (" LIMIT 1000" if _capped else ""))(_sql_query(_stmt, _capped))
+
+
+@register("sql_summary_group", "SELECT count(*) AS row_count, (SELECT count(*) FROM lineitem) AS total_dataset_rows, 100.0::DOUBLE AS scanned_percentage, "
+                               "true AS is_aggregate, false AS truncated FROM (SELECT DISTINCT l_partkey FROM lineitem) t")
+def q_summary_group(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return sql_summary(spark, "SELECT l_partkey, count(*) AS n FROM dataset GROUP BY l_partkey", df, {"dataset": df}).drop("sql")
+
+
+@register("sql_summary_capped", "SELECT least(count(*), 1000) AS row_count, count(*) AS total_dataset_rows, 100.0::DOUBLE AS scanned_percentage, "
+                                "false AS is_aggregate, count(*) > 1000 AS truncated FROM orders")
+def q_summary_capped(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    return sql_summary(spark, "SELECT * FROM dataset", df, {"dataset": df}, default_limit=1000).drop("sql")
 
 
 # ---------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from conftest import rows_by
 from tablelens.operators.automl import SMALL_SIZES, benchmark, load, read_leaderboard, save
 from tablelens.operators.insights import analyze, release
 from tablelens.operators.scoring import score
-from tablelens.operators.sqlrun import run_sql, sql_summary
+from tablelens.operators.sqlrun import sql_summary
 
 
 def test_reliable_analysis(spark):
@@ -36,7 +36,8 @@ def test_save_load_score(spark, tmp_path):
 def test_sql_summary(spark):
     df = spark.range(2500).selectExpr("id", "id % 4 AS g")
     sql = "SELECT g, COUNT(*) AS n FROM dataset GROUP BY g"
-    res = run_sql(spark, sql, views={"dataset": df})
-    s = sql_summary(spark, sql, res, df).first()
+    s = sql_summary(spark, sql, df, {"dataset": df}).first()
     assert s["row_count"] == 4 and s["total_dataset_rows"] == 2500 and s["is_aggregate"]
-    assert s["scanned_percentage"] == 100.0 and s["sql"].endswith("LIMIT 1000")
+    assert s["scanned_percentage"] == 100.0 and s["sql"] == sql and not s["truncated"]
+    s = sql_summary(spark, "SELECT id, 'COUNT(' AS x FROM dataset", df, {"dataset": df}, default_limit=1000).first()
+    assert s["row_count"] == 1000 and s["truncated"] and not s["is_aggregate"] and s["sql"].endswith(" LIMIT 1000")

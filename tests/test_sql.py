@@ -21,7 +21,8 @@ def products(spark):
     "DROP TABLE dataset", "DELETE FROM dataset", "UPDATE dataset SET price = 0",
     "INSERT INTO dataset VALUES (1)", "ALTER TABLE dataset ADD COLUMN x INT",
     "SELECT * FROM dataset; DROP TABLE dataset", "ATTACH DATABASE 'x' AS y",
-    "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "",
+    "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "", "-- nothing", "SET x = 1", "(DROP TABLE x)", "FROM a INSERT INTO b SELECT 1",
+    "WITH a AS (SELECT 1), b AS (SELECT 2) DELETE FROM t", "CACHE TABLE x AS SELECT 1", "EXPLAIN SELECT 1",
 ])
 def test_refusals(sql):
     with pytest.raises(SqlGuardError):
@@ -56,10 +57,37 @@ def test_exact_aggregation_10000_rows(spark):
     assert r["Alpha"]["n"] == 5000 and r["Beta"]["s"] == 50000.0
 
 
-def test_default_limit(spark):
-    df = spark.range(5000).toDF("x")
-    assert run_sql(spark, "SELECT * FROM dataset", views={"dataset": df}).count() == 1000
-    assert run_sql(spark, "SELECT * FROM dataset LIMIT 5000", views={"dataset": df}).count() == 5000
+def test_all_rows_unless_a_cap_is_asked_for(spark):
+    view = {"dataset": spark.range(5000).toDF("x")}
+    assert run_sql(spark, "SELECT * FROM dataset", views=view).count() == 5000
+    capped = lambda sql: run_sql(spark, sql, views=view, default_limit=1000).count()
+    assert capped("SELECT * FROM dataset") == 1000
+    assert capped("SELECT * FROM dataset LIMIT 3000") == 3000
+    assert capped("SELECT * FROM (SELECT * FROM dataset LIMIT 4000) t") == 1000
+    assert capped("SELECT x, 'LIMIT 5' AS note FROM dataset") == 1000
+    assert capped("WITH t AS (SELECT * FROM dataset) SELECT * FROM t ORDER BY x LIMIT 2000 OFFSET 10") == 2000
+
+
+def test_literals_and_comments_are_no_sql(spark):
+    view = {"dataset": spark.createDataFrame([("update",), ("b",)], "word string")}
+    assert run_sql(spark, "SELECT 'a--b' AS x", views=view).first()["x"] == "a--b"
+    assert run_sql(spark, "SELECT 'it''s; /* no */ \\' -- drop' AS x -- rest", views=view).count() == 1
+    assert run_sql(spark, "SELECT word FROM dataset WHERE word = 'update'", views=view).count() == 1
+    assert run_sql(spark, 'SELECT "word" AS "a ""b"" `c" FROM dataset /* ; */;', views=view).columns == ['a "b" `c']
+    assert run_sql(spark, "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4), s AS (SELECT n FROM r) SELECT sum(n) AS n FROM s", views=view).first()["n"] == 10
+
+
+def test_only_the_views_are_read(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("secret")
+    view = {"dataset": spark.range(5)}
+    spark.range(3).createOrReplaceTempView("other_view")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").createOrReplaceTempView("nation_file")
+    for sql in (f"SELECT * FROM text.`{tmp_path}/f.txt`", f"SELECT id FROM dataset WHERE EXISTS (SELECT 1 FROM text.`{tmp_path}/f.txt`)", f"WITH t AS (SELECT * FROM text.`{tmp_path}/f.txt`) SELECT * FROM t",
+                "SELECT reflect('java.lang.System', 'getProperty', 'java.version')", "SELECT `java_method`('java.lang.Math', 'abs', -1)", "SELECT system.builtin.try_reflect ('java.lang.Math', 'abs', -1)",
+                "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM dataset", "SELECT * FROM nation_file"):
+        with pytest.raises(SqlGuardError):
+            run_sql(spark, sql, views=view)
+    assert run_sql(spark, "SELECT * FROM dataset d JOIN (SELECT 1 AS id) e USING (id)", views=view).count() == 1
 
 
 def test_quoted_identifiers(spark, products):
