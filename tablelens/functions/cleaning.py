@@ -13,25 +13,8 @@ def finite(c: Column) -> Column:
 
 
 def r4(c: Column) -> Column:
-    """Emit a float: non-finite → null; 4 decimals below 1e6, else 10
-    significant digits; -0.0 folds into 0.0.
-
-    Sums and variances over many rows differ between engines (and between
-    partitionings) in their last bits; a fixed number of significant digits
-    keeps the emitted value stable.
-    """
-    x = finite(c)
-    e = F.floor(F.log10(F.abs(x)))
-    big = F.pow(F.lit(10.0), e - 9)
-    out = (
-        F.when(F.abs(x) < 1e6, F.round(x, 4))
-        .when(e == 6, F.round(x, 3))
-        .when(e == 7, F.round(x, 2))
-        .when(e == 8, F.round(x, 1))
-        .when(e == 9, F.round(x, 0))
-        .otherwise(F.round(x / big, 0) * big)
-    )
-    return out + F.lit(0.0)
+    """Emit a float with 4 decimals; non-finite is null; -0.0 folds into 0.0."""
+    return F.round(finite(c), 4) + F.lit(0.0)
 
 
 def emit(df, names: list[str]):
@@ -52,17 +35,6 @@ def pct(part: Column, whole: Column, places: int = 2) -> Column:
     return F.when(whole > 0, F.round(part / whole * 100.0, places)).otherwise(F.lit(0.0))
 
 
-def inf_to_null(c: Column) -> Column:
-    """±Inf → missing (the model-preparation view of a value)."""
-    d = c.cast("double")
-    return F.when(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(d)
-
-
-def coerce_number(c: Column) -> Column:
-    """Coerce to a double; text that does not parse becomes missing."""
-    return c.cast("string").try_cast("double")
-
-
 def sanitize(df, places: int = 4):
     """Emission step for query results: floats rounded, non-finite → null.
 

@@ -106,7 +106,7 @@ def statistics(df_or_metrics) -> DataFrame:
     frequent value (ties: smallest value) with its share of non-missing.
     """
     m = metrics_of(df_or_metrics)
-    c = m.identified
+    c = m.identified.join(m.exact_ranges, "ord", "left")
     n = F.col("num_count")
     numeric = (F.col("kind") == "numeric") & (n > 0)
     categorical = (F.col("kind") != "numeric") & (F.col("kind") != "complex") & (F.col("present") > 0)
@@ -136,5 +136,7 @@ def statistics(df_or_metrics) -> DataFrame:
         F.when(categorical, F.col("top_value")).alias("top_value"),
         F.when(categorical, F.col("top_freq")).cast("long").alias("top_frequency"),
         F.when(categorical, pct(F.col("top_freq"), F.col("present"))).alias("top_pct"),
+        # integers and decimals as they are, however large
+        "exact_min", "exact_max", "exact_sum",
     )
     return emit(out, ["min", "max", "mean", "median", "sum", "std", "variance", "q25", "q75", "skewness"])

@@ -155,21 +155,23 @@ def suggest_aggregates(df: DataFrame, n: int = DEFAULT_N) -> dict[str, DataFrame
     the first measure, top rows, the trend over the first date, then the
     first rows and the row count)."""
     r = roles(df)
-    cat = r["category"][0] if r["category"] else None
-    mea = r["measure"][0] if r["measure"] else None
-    date = r["date"][0] if r["date"] else None
+    found = {role: names[0] for role, names in r.items() if names}
     out: dict[str, DataFrame] = {}
-    if cat:
-        out[f"count_by_{cat}"] = count_by(df, cat, n)
-    if mea and cat:
-        out[f"total_{mea}_by_{cat}"] = sum_by(df, cat, mea, n)
-        out[f"avg_{mea}_by_{cat}"] = avg_by(df, cat, mea, n)
-    elif mea:
-        out[f"top_{n}_by_{mea}"] = top_n(df, mea, n)
-        out[f"avg_{mea}"] = overall_avg(df, mea)
-    if date and mea:
-        out[f"total_{mea}_by_{date}"] = trend_by(df, date, mea)
-    if len(out) < 5:
-        out["first_rows"] = browse(df, n)
-        out["total_rows"] = total_rows(df)
-    return dict(list(out.items())[:5])
+    for needs, name, build in SUGGESTIONS:
+        lacks = {x[1:] for x in needs if x[0] == "-"}
+        if len(out) < 5 and {x for x in needs if x[0] != "-"} <= set(found) and not lacks & set(found):
+            out[name.format(n=n, **found)] = build(df, found, n)
+    return out
+
+
+#: What a suggestion needs ("-": must lack), its name, and what makes it, in the order of a first look.
+SUGGESTIONS = (
+    (("category",), "count_by_{category}", lambda df, f, n: count_by(df, f["category"], n)),
+    (("measure", "category"), "total_{measure}_by_{category}", lambda df, f, n: sum_by(df, f["category"], f["measure"], n)),
+    (("measure", "category"), "avg_{measure}_by_{category}", lambda df, f, n: avg_by(df, f["category"], f["measure"], n)),
+    (("measure", "-category"), "top_{n}_by_{measure}", lambda df, f, n: top_n(df, f["measure"], n)),
+    (("measure", "-category"), "avg_{measure}", lambda df, f, n: overall_avg(df, f["measure"])),
+    (("date", "measure"), "total_{measure}_by_{date}", lambda df, f, n: trend_by(df, f["date"], f["measure"])),
+    ((), "first_rows", lambda df, f, n: browse(df, n)),
+    ((), "total_rows", lambda df, f, n: total_rows(df)),
+)

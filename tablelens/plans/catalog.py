@@ -100,6 +100,20 @@ def events_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 # profile / statistics
 # ---------------------------------------------------------------------------
 
+PROFILE_NUMBERS = ["min", "max", "mean", "median"]
+STATS_NUMBERS = PROFILE_NUMBERS + ["sum", "std", "variance", "q25", "q75", "skewness"]
+
+
+def comparable(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns in ten significant digits, for the comparison alone: sums of
+    doubles differ between engines in their last bits."""
+    def rounded(c):
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 9)
+        return F.when(F.abs(c) < 1e6, c).otherwise(F.round(c / unit, 0) * unit)
+
+    return df.withColumns({c: rounded(F.col(c)) for c in names})
+
+
 def _profile_sql(src: str, cols) -> str:
     return f"""
 SELECT column_name, CAST(ord AS BIGINT) AS ordinal, data_type,
@@ -136,7 +150,7 @@ SELECT column_name, CAST(ord AS BIGINT) AS ordinal, data_type,
   CASE WHEN isnum THEN {O.r4('CASE WHEN num_count > 2 THEN coalesce(num_skew, 0.0) ELSE 0.0 END')} END AS skewness,
   CASE WHEN iscat THEN top_value END AS top_value,
   CAST(CASE WHEN iscat THEN top_freq END AS BIGINT) AS top_frequency,
-  CASE WHEN iscat THEN CASE WHEN present > 0 THEN round(top_freq / present * 100.0, 2) ELSE 0.0 END END AS top_pct
+  CASE WHEN iscat THEN CASE WHEN present > 0 THEN round(top_freq / present * 100.0, 2) ELSE 0.0 END END AS top_pct, exact_min, exact_max, exact_sum
 FROM (SELECT *, (kind = 'numeric' AND num_count > 0) AS isnum,
              (kind NOT IN ('numeric', 'complex') AND present > 0) AS iscat FROM ({ids}) x) y
 """
@@ -154,34 +168,54 @@ FROM ({ids}) x
 """
 
 
-@register("profile_lineitem", _profile_sql("lineitem", O.TABLES["lineitem"]))
+@register("profile_lineitem", O.comparable_sql(_profile_sql("lineitem", O.TABLES["lineitem"]), PROFILE_NUMBERS))
 def q_profile_lineitem(spark, sf_dir):
-    return profile(table(spark, sf_dir, "lineitem"))
+    return comparable(profile(table(spark, sf_dir, "lineitem")), PROFILE_NUMBERS)
 
 
-@register("profile_missing_lineitem", _profile_sql(f"({MISSING_LINEITEM_SQL})", MISSING_LINEITEM_COLS))
+@register("profile_missing_lineitem", O.comparable_sql(_profile_sql(f"({MISSING_LINEITEM_SQL})", MISSING_LINEITEM_COLS), PROFILE_NUMBERS))
 def q_profile_missing(spark, sf_dir):
-    return profile(missing_lineitem(spark, sf_dir))
+    return comparable(profile(missing_lineitem(spark, sf_dir)), PROFILE_NUMBERS)
 
 
-@register("stats_orders", _stats_sql("orders", O.TABLES["orders"]))
+@register("stats_orders", O.comparable_sql(_stats_sql("orders", O.TABLES["orders"]), STATS_NUMBERS))
 def q_stats_orders(spark, sf_dir):
-    return statistics(table(spark, sf_dir, "orders"))
+    return comparable(statistics(table(spark, sf_dir, "orders")), STATS_NUMBERS)
 
 
-@register("stats_lineitem", _stats_sql("lineitem", O.TABLES["lineitem"]))
+@register("stats_lineitem", O.comparable_sql(_stats_sql("lineitem", O.TABLES["lineitem"]), STATS_NUMBERS))
 def q_stats_lineitem(spark, sf_dir):
-    return statistics(table(spark, sf_dir, "lineitem"))
+    return comparable(statistics(table(spark, sf_dir, "lineitem")), STATS_NUMBERS)
 
 
-@register("categorical_stats_customer", _stats_sql("customer", O.TABLES["customer"]))
+@register("categorical_stats_customer", O.comparable_sql(_stats_sql("customer", O.TABLES["customer"]), STATS_NUMBERS))
 def q_stats_customer(spark, sf_dir):
-    return statistics(table(spark, sf_dir, "customer"))
+    return comparable(statistics(table(spark, sf_dir, "customer")), STATS_NUMBERS)
+
+
+# integers beyond 2**53 and decimals that a double cannot tell apart
+EXACT_SQL = """SELECT o_orderkey + 9007199254740992 AS big,
+       CAST(CAST('12345678901234567890.00' AS DECIMAL(30,2)) + CAST(o_orderkey AS DECIMAL(18,2)) AS DECIMAL(30,2)) AS amount FROM orders"""
+
+
+@register("stats_decimal_bigint", f"""
+WITH x AS (SELECT big, amount FROM ({EXACT_SQL}) y)
+SELECT 'big' AS column_name, 'bigint' AS data_type, count(DISTINCT big) AS unique_count, CAST(min(big) AS VARCHAR) AS exact_min,
+       CAST(max(big) AS VARCHAR) AS exact_max, CAST(sum(big) AS VARCHAR) AS exact_sum FROM x
+UNION ALL SELECT 'amount', 'decimal(30,2)', count(DISTINCT amount), CAST(min(amount) AS VARCHAR), CAST(max(amount) AS VARCHAR),
+       CAST(sum(amount) AS VARCHAR) FROM x
+""")
+def q_stats_exact(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") + 9007199254740992).alias("big"),
+        (F.lit("12345678901234567890.00").cast("decimal(30,2)") + F.col("o_orderkey").cast("decimal(18,2)")).cast("decimal(30,2)").alias("amount"),
+    )
+    return statistics(df).select("column_name", "data_type", "unique_count", "exact_min", "exact_max", "exact_sum")
 
 
-@register("stats_missing_lineitem", _stats_sql(f"({MISSING_LINEITEM_SQL})", MISSING_LINEITEM_COLS))
+@register("stats_missing_lineitem", O.comparable_sql(_stats_sql(f"({MISSING_LINEITEM_SQL})", MISSING_LINEITEM_COLS), STATS_NUMBERS))
 def q_stats_missing(spark, sf_dir):
-    return statistics(missing_lineitem(spark, sf_dir))
+    return comparable(statistics(missing_lineitem(spark, sf_dir)), STATS_NUMBERS)
 
 
 # ---------------------------------------------------------------------------
@@ -307,42 +341,42 @@ def insight_rules_sql(src: str, cols) -> str:
     none = "CAST([] AS VARCHAR[])"
     return f"""
 WITH s AS ({s}), st AS ({st}), qc AS ({qc}), tp AS ({tp})
-SELECT 100 AS position, 'overview' AS type, 'info' AS severity, 'Dataset Overview' AS title, {none} AS columns FROM s
+SELECT 100 AS position, 'overview' AS type, 'info' AS severity, 'Table at a glance' AS title, {none} AS columns FROM s
 UNION ALL
 SELECT 200, CASE WHEN missing_pct = 0 THEN 'data_integrity' ELSE 'missing_values' END,
        CASE WHEN missing_pct > 20 THEN 'high' WHEN missing_pct > 5 THEN 'medium' ELSE 'info' END,
-       CASE WHEN missing_pct > 20 THEN 'Severe Missing Data' WHEN missing_pct > 5 THEN 'Moderate Missing Data'
-            ELSE 'Zero Missing Data' END, {none}
+       CASE WHEN missing_pct > 20 THEN 'Many cells are missing' WHEN missing_pct > 5 THEN 'Some cells are missing'
+            ELSE 'No cell is missing' END, {none}
 FROM s WHERE missing_pct > 5 OR missing_pct = 0
 UNION ALL
-SELECT 300, 'duplicates', CASE WHEN duplicate_pct > 10 THEN 'high' ELSE 'medium' END, 'Duplicate Records Detected',
+SELECT 300, 'duplicates', CASE WHEN duplicate_pct > 10 THEN 'high' ELSE 'medium' END, 'Repeated rows',
        {none} FROM s WHERE duplicate_rows > 0
 UNION ALL
 SELECT CAST(400 + ordinal AS INTEGER), 'outliers', CASE WHEN outlier_pct > 10 THEN 'high' ELSE 'medium' END,
-       'Outliers in ''' || column_name || '''', [column_name]
+       'Far values in ' || column_name, [column_name]
 FROM (SELECT * FROM qc WHERE outlier_count > 0 ORDER BY ordinal LIMIT 3) o
 UNION ALL
-SELECT CAST(500 + rank AS INTEGER), 'correlation', 'info', strength || ' Correlation: ' || column1 || ' vs ' || column2,
+SELECT CAST(500 + rank AS INTEGER), 'correlation', 'info', column1 || ' with ' || column2 || ': ' || strength,
        [column1, column2] FROM tp WHERE abs(correlation) >= 0.40
 UNION ALL
-SELECT CAST(1000 + ordinal AS INTEGER), 'categorical_dominance', 'info', 'Dominant Category in ''' || column_name || '''',
+SELECT CAST(1000 + ordinal AS INTEGER), 'categorical_dominance', 'info', 'One value leads in ' || column_name,
        [column_name] FROM st
 WHERE top_value IS NOT NULL AND top_pct >= 60.0 AND top_value NOT IN ('None', 'Missing', 'null')
 UNION ALL
 SELECT CAST(2000 + 2 * ordinal AS INTEGER), 'distribution', 'low',
-       CASE WHEN skewness > 0 THEN 'Right' ELSE 'Left' END || '-Skewed Distribution (''' || column_name || ''')',
+       'Long ' || CASE WHEN skewness > 0 THEN 'right' ELSE 'left' END || ' tail in ' || column_name,
        [column_name] FROM st WHERE mean IS NOT NULL AND abs(skewness) > 1.5
 UNION ALL
 SELECT CAST(2001 + 2 * ordinal AS INTEGER), 'high_variance', 'low',
-       'High Measurement Variance (''' || column_name || ''')', [column_name] FROM st
+       'Wide spread in ' || column_name, [column_name] FROM st
 WHERE mean IS NOT NULL AND mean <> 0 AND std <> 0 AND std / abs(mean) > 1.5 AND min IS NOT NULL AND max IS NOT NULL
 UNION ALL
-SELECT 9000, 'empty_columns', 'high', 'Empty Columns', empty_columns FROM s WHERE len(empty_columns) > 0
+SELECT 9000, 'empty_columns', 'high', 'Columns without values', empty_columns FROM s WHERE len(empty_columns) > 0
 UNION ALL
-SELECT 9100, 'constant_columns', 'medium', 'Zero-Variance Columns', constant_columns FROM s
+SELECT 9100, 'constant_columns', 'medium', 'Columns of one value', constant_columns FROM s
 WHERE len(constant_columns) > 0
 UNION ALL
-SELECT 9200, 'identifier', 'info', 'Potential Primary Key / ID Columns', id_columns FROM s WHERE len(id_columns) > 0
+SELECT 9200, 'identifier', 'info', 'Columns that identify rows', id_columns FROM s WHERE len(id_columns) > 0
 """
 
 
@@ -392,7 +426,7 @@ for _key in ("lineitem", "missing_lineitem", "documents", "events_derived"):
 
 
 # ---------------------------------------------------------------------------
-# report texts (summary and data-quality sentences) with an oracle
+# report texts (all but the key findings) with an oracle
 # ---------------------------------------------------------------------------
 
 def report_texts_sql(src: str, cols) -> str:
@@ -400,12 +434,17 @@ def report_texts_sql(src: str, cols) -> str:
     score = ("CASE WHEN health_score = floor(health_score) THEN format('{:.1f}', health_score) "
              "ELSE CAST(health_score AS VARCHAR) END")
     return f"""
-SELECT 'The dataset consists of ' || format('{{:,}}', row_count) || ' records across ' || CAST(column_count AS VARCHAR)
-       || ' columns. Automated profiling assessed an overall data health score of ' || {score} || '/100 ('
-       || health_status || ').' AS summary,
-       'Missing cells account for ' || format('{{:.1f}}', missing_pct) || '% of total data with '
-       || format('{{:,}}', duplicate_rows) || ' duplicate records. ' || CAST(len(outlier_columns) AS VARCHAR)
-       || ' numeric column(s) exhibit potential statistical outliers based on IQR boundaries.' AS data_quality
+SELECT format('{{:,}}', row_count) || ' rows and ' || CAST(column_count AS VARCHAR) || ' columns were profiled; their health score is '
+       || {score} || ' of 100, ' || health_status || '.' AS summary,
+       format('{{:.1f}}', missing_pct) || '% of the cells hold no value, ' || format('{{:,}}', duplicate_rows)
+       || ' rows repeat others, and ' || CAST(len(outlier_columns) AS VARCHAR)
+       || ' numeric column(s) have values outside the quartile fences.' AS data_quality,
+       array_to_string(list_filter([
+         CASE WHEN missing_pct > 0 THEN 'Decide for each column with missing cells whether to fill or drop them.' END,
+         CASE WHEN len(outlier_columns) > 0 THEN 'Look at the far values of ' || array_to_string(outlier_columns, ', ') || ' before a model is fitted.' END,
+         CASE WHEN duplicate_rows > 0 THEN 'Remove the repeated rows.' END,
+         CASE WHEN len(id_columns) > 0 THEN 'Keep ' || array_to_string(id_columns, ', ') || ' out of the features.' END
+       ], lambda x: x IS NOT NULL), chr(10)) AS recommendations
 FROM ({s}) q
 """
 
@@ -413,4 +452,4 @@ FROM ({s}) q
 for _key in ("events_derived", "missing_lineitem", "lineitem", "orders"):
     _build, _src, _cols = _source(_key)
     register(f"report_texts_{_key}", report_texts_sql(_src, _cols))(
-        (lambda b: lambda spark, sf_dir: report(b(spark, sf_dir)).select("summary", "data_quality"))(_build))
+        (lambda b: lambda spark, sf_dir: report(b(spark, sf_dir)).select("summary", "data_quality", "recommendations"))(_build))

@@ -7,6 +7,8 @@ all its rows (``sql_guard_default_limit`` alone asks for a cap).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tablelens.operators.sqlrun import run_sql, schema_summary, sql_summary
@@ -23,6 +25,8 @@ from tablelens.operators.templates import (
 )
 from tablelens.plans import oracle as O
 from tablelens.plans.catalog import register, table
+from tablelens.session import ensure_checkpoint_dir
+from tablelens.sources.csv import read_csv, validate_csv, write_csv
 
 VIEW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 
@@ -302,14 +306,16 @@ for _t in ("customer", "orders", "nation"):
 # read back with type inference
 # ---------------------------------------------------------------------------
 
+def _csv_folder(spark, sf_dir: str, name: str) -> str:
+    digest = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-csv/{name}-{digest}"
+
+
 @register("csv_roundtrip_orders",
           "SELECT count(*) AS row_count, sum(o_orderkey) AS key_sum, round(sum(o_totalprice), 2) AS price_sum, "
           "count(DISTINCT o_orderstatus) AS statuses, count(DISTINCT o_orderpriority) AS priorities FROM orders")
 def q_csv_roundtrip(spark, sf_dir):
-    from tablelens.session import ensure_checkpoint_dir
-    from tablelens.sources.csv import read_csv, write_csv
-
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-csv/orders-{abs(hash(sf_dir)) % 10**8}"
+    path = _csv_folder(spark, sf_dir, "orders")
     write_csv(table(spark, sf_dir, "orders"), path)
     df = read_csv(spark, path)
     return df.agg(
@@ -319,16 +325,40 @@ def q_csv_roundtrip(spark, sf_dir):
     )
 
 
+# a number column with gaps, booleans, an integer and text: what inference makes of each
+@register("csv_types_orders",
+          "SELECT unnest(['o_orderkey', 'o_totalprice', 'gaps', 'flag', 'o_orderstatus']) AS column_name, "
+          "unnest(['bigint', 'double', 'double', 'boolean', 'string']) AS data_type, count(*) AS n FROM orders")
+def q_csv_types(spark, sf_dir):
+    path = _csv_folder(spark, sf_dir, "orders-types")
+    odd = F.col("o_orderkey") % 2 == 1
+    write_csv(table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_totalprice", F.when(odd, F.col("o_custkey").cast("string")).otherwise("NA").alias("gaps"),
+        F.when(odd, "True").otherwise("false").alias("flag"), "o_orderstatus"), path)
+    df = read_csv(spark, path)
+    return df.agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type"), F.col("n")) for c, t in df.dtypes])))
+
+
 @register("csv_validate_orders",
           "SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(6 AS BIGINT) AS column_count, CAST(0 AS BIGINT) AS bad_rows, "
           "true AS header_ok, count(*) > 0 AS is_valid, 'OK' AS message FROM orders")
 def q_csv_validate(spark, sf_dir):
-    from tablelens.session import ensure_checkpoint_dir
-    from tablelens.sources.csv import validate_csv, write_csv
+    path = _csv_folder(spark, sf_dir, "orders-valid")
+    write_csv(table(spark, sf_dir, "orders"), path)
+    return validate_csv(spark, path)
+
 
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-csv/orders-valid-{abs(hash(sf_dir)) % 10**8}"
-    # one file, so the header line is the file's first line
-    write_csv(table(spark, sf_dir, "orders").coalesce(1), path)
+# of each ten keys one line is short, one long, and one has a quoted comma; the header has one too
+@register("csv_validate_bad",
+          "SELECT count(*) AS row_count, CAST(3 AS BIGINT) AS column_count, count(*) FILTER (o_orderkey % 10 < 2) AS bad_rows, true AS header_ok, "
+          "false AS is_valid, CAST(count(*) FILTER (o_orderkey % 10 < 2) AS VARCHAR) || ' row(s) do not match the header width.' AS message FROM orders")
+def q_csv_validate_bad(spark, sf_dir):
+    path = _csv_folder(spark, sf_dir, "orders-bad")
+    k = F.col("o_orderkey")
+    line = F.when(k % 10 == 0, F.concat(k.cast("string"), F.lit(",1"))).when(k % 10 == 1, F.concat(k.cast("string"), F.lit(",1,2,3"))) \
+        .when(k % 10 == 2, F.concat(F.lit('"a, '), k.cast("string"), F.lit('",1,2'))).otherwise(F.concat(k.cast("string"), F.lit(",1,2")))
+    # one column without quoting: its name and values are the lines
+    table(spark, sf_dir, "orders").select(line.alias('"a,x",b,c')).write.mode("overwrite").option("header", True).option("quote", "\x00").option("sep", "\x01").csv(path)
     return validate_csv(spark, path)
 
 

@@ -91,13 +91,8 @@ def colstats_sql(src: str, cols: list[tuple[str, str]]) -> str:
         else:
             avg_len = uuid = pref = "CAST(NULL AS DOUBLE)"
             min_text = "CAST(NULL AS VARCHAR)"
-        if kind == "numeric":
-            seq = (
-                f"(SELECT count(*) FROM (SELECT DISTINCT {num} AS v FROM {src} WHERE {c} IS NOT NULL) a "
-                f"WHERE a.v + 1 IN (SELECT {num} FROM {src} WHERE {c} IS NOT NULL))"
-            )
-        else:
-            seq = "0"
+        exact = "".join(f"{f'CAST({fn}({c}) AS VARCHAR)' if dtype in ('tinyint', 'smallint', 'int', 'bigint') or dtype.startswith('decimal') else 'CAST(NULL AS VARCHAR)'} AS exact_{fn}, " for fn in ("min", "max", "sum"))
+        integral = "true" if dtype in ("tinyint", "smallint", "int", "bigint") else "false"
         top = (
             f"(SELECT {{sel}} FROM (SELECT {key} AS v, count(*) AS n FROM {src} WHERE {c} IS NOT NULL "
             f"GROUP BY 1 ORDER BY n DESC, v ASC LIMIT 1))"
@@ -111,22 +106,21 @@ def colstats_sql(src: str, cols: list[tuple[str, str]]) -> str:
             f"quantile_cont({num}, 0.25) AS q25, quantile_cont({num}, 0.5) AS median, "
             f"quantile_cont({num}, 0.75) AS q75, "
             f"{avg_len} AS avg_len, {uuid} AS uuid_rate, {pref} AS prefix_rate, {min_text} AS min_text, "
-            f"{seq} AS seq_pairs, {top.format(sel='v')} AS top_value, {top.format(sel='n')} AS top_freq "
+            f"{integral} AS integral, {exact} {top.format(sel='v')} AS top_value, {top.format(sel='n')} AS top_freq "
             f"FROM {src}"
         )
     return "\nUNION ALL\n".join(parts)
 
 
 def r4(x: str) -> str:
-    """SQL twin of the Spark emission rounding (see functions.cleaning.r4)."""
-    e = f"floor(log10(abs({x})))"
-    big = f"pow(10.0, {e} - 9)"
-    return (
-        f"(CASE WHEN isnan({x}) OR isinf({x}) THEN NULL "
-        f"WHEN abs({x}) < 1e6 THEN round({x}, 4) WHEN {e} = 6 THEN round({x}, 3) "
-        f"WHEN {e} = 7 THEN round({x}, 2) WHEN {e} = 8 THEN round({x}, 1) WHEN {e} = 9 THEN round({x}, 0) "
-        f"ELSE round({x} / {big}, 0) * {big} END + 0.0)"
-    )
+    """Four decimals, missing for what is no finite number."""
+    return f"(CASE WHEN isnan({x}) OR isinf({x}) THEN NULL ELSE round({x}, 4) + 0.0 END)"
+
+
+def comparable_sql(sql: str, names: list[str]) -> str:
+    """The query with the columns in ten significant digits (see ``catalog.comparable``)."""
+    each = ", ".join(f"CASE WHEN abs({c}) < 1e6 THEN {c} ELSE round({c} / pow(10.0, floor(log10(abs({c}))) - 9), 0) * pow(10.0, floor(log10(abs({c}))) - 9) END AS {c}" for c in names)
+    return f"SELECT * REPLACE ({each}) FROM ({sql}) exact_rows"
 
 
 def _re_any(patterns: list[str]) -> str:
@@ -182,8 +176,7 @@ def identifier_sql(colstats: str) -> str:
           (present > 0 AND total_rows > 0 AND kind <> 'complex') AS usable,
           kind IN ('string', 'datetime') AS textual,
           CASE WHEN total_rows > 0 THEN round(unique_count / total_rows, 4) ELSE 0.0 END AS ratio,
-          coalesce(kind IN ('numeric', 'boolean') AND num_count > 1
-                   AND seq_pairs / (num_count - 1) > 0.85, false) AS seq,
+          coalesce(integral AND num_count > 1 AND unique_count / (num_max - num_min + 1) > 0.85, false) AS seq,
           {name_id_sql()} AS name_id, {pii_sql()} AS pii, {exact_sql()} AS exact_name
         FROM ({colstats}) s0
       ) s1

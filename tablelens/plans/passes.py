@@ -30,7 +30,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,10 +109,9 @@ def value_key(spec: ColumnSpec, c: Column) -> tuple[Column, Column]:
     null_d = F.lit(None).cast("double")
     if spec.kind == "numeric":
         num = clean_numeric(spec, c)
-        if spec.integral:
-            return c.cast("string"), num
-        # floats (and decimals): text is made after aggregation, per distinct value
-        return F.lit(None).cast("string"), num
+        # integers and decimals are told apart by their exact text; the text
+        # of floats is made after aggregation, per distinct value
+        return F.lit(None).cast("string") if spec.floating else c.cast("string"), num
     if spec.kind == "boolean":
         key = F.when(c, F.lit("True")).when(~c, F.lit("False"))
         return key, c.cast("double")
@@ -197,7 +196,7 @@ class TableMetrics:
     def counts_all(self) -> DataFrame:
         """(ord, key, num, n) including one row per column for its missing values."""
         vc = self.long.groupBy("ord", "key", "num").agg(F.count(F.lit(1)).alias("n"))
-        float_ords = [s.ordinal for s in self.specs if s.kind == "numeric" and not s.integral]
+        float_ords = [s.ordinal for s in self.specs if s.floating]
         if float_ords:
             vc = vc.withColumn(
                 "key",
@@ -248,15 +247,20 @@ class TableMetrics:
             wavg(present_text, tkey.rlike(PREFIX_ID_PATTERN).cast("int")).alias("prefix_rate"),
             wavg(is_str & key.isNotNull(), tkey.try_cast("timestamp").isNotNull().cast("int")).alias("dt_rate"),
             F.coalesce(wsum(is_str & key.isNotNull() & ~tkey.rlike("^[0-9]+$")), F.lit(0)).alias("nondigit"),
-            F.min(F.when(present_text, key)).alias("min_text"),
-            # distinct values and the mode (ties: smallest value) in the same pass
             F.count(key).alias("unique_count"),
-            F.min_by(F.when(key.isNotNull(), F.struct(key.alias("key"), n.alias("n"))),
-                     F.when(key.isNotNull(), F.struct((-n).alias("neg_n"), key.alias("key")))).alias("top"),
             F.min(F.when(key.isNotNull(), n)).alias("min_freq"),
             F.max(F.when(key.isNotNull(), n)).alias("max_freq"),
-        ).withColumn("num_mean", F.try_divide(F.col("num_sum"), F.col("num_count"))) \
-            .withColumn("top_value", F.col("top.key")).withColumn("top_freq", F.col("top.n")).drop("top")
+        ).withColumn("num_mean", F.try_divide(F.col("num_sum"), F.col("num_count")))
+        # the mode (ties: smallest value) and the smallest text: a top-1 of each
+        # column, limited before the shuffle, so the aggregate above holds numbers only
+        def first_by(rows: DataFrame, *order: Column) -> DataFrame:
+            nth = F.row_number().over(Window.partitionBy("ord").orderBy(*order))
+            return rows.withColumn("nth", nth).where("nth = 1")
+
+        present = vc.where(key.isNotNull()).select("ord", "key", "n")
+        modes = first_by(present, F.desc("n"), F.asc("key")).select("ord", F.col("key").alias("top_value"), F.col("n").alias("top_freq"))
+        least = first_by(present.where(is_text), F.asc("key")).select("ord", F.col("key").alias("min_text"))
+        first = first.join(modes, "ord", "left").join(least, "ord", "left")
         # second pass over the (small) value counts: centred moments
         centred = vc.where(num.isNotNull()).join(F.broadcast(first.select("ord", "num_mean")), "ord").select(
             "ord", "n", (num - F.col("num_mean")).alias("d")
@@ -301,21 +305,27 @@ class TableMetrics:
         )
 
     @cached_property
-    def sequential_pairs(self) -> DataFrame:
-        """(ord, seq_pairs): distinct values v with v + 1 also present, numeric columns.
+    def exact_ranges(self) -> DataFrame:
+        """(ord, exact_min, exact_max, exact_sum) of integer and decimal columns, as text without rounding.
 
-        In ascending order, consecutive differences equal to one occur exactly
-        between such pairs, so ``seq_pairs / (count - 1)`` is the share of unit
-        steps of the sorted column — an order-free sequential-id test.
+        One columnar aggregate; one row of results.
         """
-        num_ords = self.ords("numeric")
-        if not num_ords:
-            return self.spark.createDataFrame([], "ord int, seq_pairs bigint")
-        v = self.value_counts.where(F.col("ord").isin(num_ords) & F.col("num").isNotNull()) \
-            .select("ord", "num")
-        nxt = v.select(F.col("ord").alias("ord2"), (F.col("num") - 1).alias("prev"))
-        hits = v.join(nxt, (v.ord == nxt.ord2) & (v.num == nxt.prev), "left_semi")
-        return hits.groupBy("ord").agg(F.count(F.lit(1)).alias("seq_pairs"))
+        out = "ord int, exact_min string, exact_max string, exact_sum string"
+        chosen = [s for s in self.specs if s.is_numeric and not s.floating]
+        if not chosen:
+            return self.spark.createDataFrame([], out)
+        wide = {s.ordinal: f"decimal(38,{s.dtype.split(',')[1].strip(' )')})" if s.dtype.startswith("decimal") else "decimal(38,0)" for s in chosen}
+        row = self.df.agg(*[
+            f(col_ref(s.name) if f is not F.try_sum else col_ref(s.name).cast(wide[s.ordinal])).cast("string").alias(f"{name}{s.ordinal}")
+            for s in chosen for name, f in (("a", F.min), ("b", F.max), ("c", F.try_sum))
+        ]).first()
+        return self.spark.createDataFrame([(s.ordinal, *[row[f"{x}{s.ordinal}"] for x in "abc"]) for s in chosen], out)
+
+    def release(self) -> None:
+        """Drop what this object keeps, and nothing of anybody else's."""
+        for name in ("counts_all", "moments", "columns", "identified"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
 
     # -- the per-column frame -------------------------------------------------
     @cached_property
@@ -327,14 +337,13 @@ class TableMetrics:
             .join(self.quantiles if self.with_quantiles
                   else self.spark.createDataFrame([], "ord int, q25 double, median double, q75 double"),
                   "ord", "left")
-            .join(self.sequential_pairs, "ord", "left")
         )
         # every column's group holds one entry per row, so n_rows is the table's row count
         out = joined.withColumn("total_rows", F.coalesce(F.col("n_rows"), F.lit(0)).cast("long")).drop("n_rows")
         out = out.select(
             "*",
             (F.col("total_rows") - F.coalesce(F.col("present"), F.lit(0))).alias("missing_count"),
-        ).fillna(0, subset=["present", "num_count", "num_nonint", "num_inf", "nondigit", "seq_pairs"])
+        ).fillna(0, subset=["present", "num_count", "num_nonint", "num_inf", "nondigit"])
         out = out.withColumn(
             "unique_count",
             F.when(F.col("kind") == "complex", F.lit(None).cast("long"))

@@ -50,18 +50,21 @@ def conf_override(spark: SparkSession, key: str, value: str):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) create a private scratch folder for it."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session without that setting (tests) gets a scratch folder of
+    its own; on a cluster the setting is needed.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tablelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
-    return configured
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tablelens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def materialize(df: DataFrame, reliable: bool = False) -> DataFrame:

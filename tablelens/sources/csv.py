@@ -11,9 +11,10 @@ row of counts per file.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablelens.plans.passes import col_ref
 
@@ -33,8 +34,9 @@ INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def _text_frame(spark: SparkSession, path: str, **options) -> DataFrame:
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True) \
-        .option("escape", '"').option("inferSchema", False)
+    # a line is a record, so large files are split; ``multiLine=True`` reads quoted
+    # line breaks at the cost of one task a file
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("inferSchema", False)
     for k, v in options.items():
         reader = reader.option(k, v)
     df = reader.csv(path)
@@ -108,36 +110,49 @@ def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None
     return text.select(*out)
 
 
+def _header(lines: DataFrame) -> list[str] | None:
+    """The fields of the first line of one file."""
+    top = lines.where("start = 0").limit(1).collect()
+    if not top:
+        return None
+    line = top[0]["value"].lstrip("\ufeff")
+    return [h.strip() for h in next(csv.reader([line]), [])]
+
+
 def validate_csv(spark: SparkSession, path: str) -> DataFrame:
     """One row: row_count, column_count, bad_rows, header_ok, is_valid, message.
 
-    Rows whose field count differs from the header's are bad; a missing or
-    blank header or an empty file makes the file invalid.
+    Every file must be UTF-8 and start with the same header.  Rows whose field
+    count differs from the header's are bad.  Lines are records.
     """
-    lines = spark.read.text(path)
-    first = lines.limit(1).collect()  # the header line only
-    if not first:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    found = _header(lines)
+    if found is None:
         return spark.createDataFrame([(0, 0, 0, False, False, "The file is empty.")], _VALIDATION_SCHEMA)
-    header = first[0][0].lstrip("﻿")
-    names = [h.strip() for h in header.split(",")]
-    header_ok = any(names)
-    if not header_ok:
-        return spark.createDataFrame([(0, 0, 0, False, False, "The header row is missing or blank.")],
-                                     _VALIDATION_SCHEMA)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-                          + [T.StructField("_corrupt_record", T.StringType())])
-    recs = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True)
-            .option("escape", '"').option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).csv(path))
-    # cache so the corrupt-record column can be counted (Spark refuses a query on it alone otherwise)
-    stats = recs.cache().agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count("_corrupt_record").alias("bad_rows"),
-    )
-    return stats.select(
-        F.col("row_count").cast("long"), F.lit(len(names)).cast("long").alias("column_count"),
-        F.col("bad_rows").cast("long"), F.lit(True).alias("header_ok"),
-        ((F.col("bad_rows") == 0) & (F.col("row_count") > 0)).alias("is_valid"),
-        F.when(F.col("row_count") == 0, "The file has a header but no rows.")
+    names = found
+    if not any(names):
+        return spark.createDataFrame([(0, 0, 0, False, False, "The first line names no column.")], _VALIDATION_SCHEMA)
+    text = lines.agg(F.count_distinct("file").alias("files"), F.count_if(~F.is_valid_utf8("value")).alias("garbled"))
+    columns = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{c} string" for c in [*columns, "_corrupt_record"])
+    rows = (spark.read.option("mode", "PERMISSIVE").option("escape", '"').option("columnNameOfCorruptRecord", "_corrupt_record")
+            .schema(schema).csv(path).select("*", F.col("_metadata.file_path").alias("file")))
+    # the parser drops a byte order mark or leaves it in the first field
+    is_header = F.lit(True)
+    for i, (c, name) in enumerate(zip(columns, names)):
+        field = F.regexp_replace(F.col(c), "^\ufeff", "") if i == 0 else F.col(c)
+        is_header &= F.trim(F.coalesce(field, F.lit(""))) == name
+    whole = rows.select("file", is_header.alias("is_header"), F.col("_corrupt_record").isNotNull().alias("bad"))
+    # one row a file: its first header line is no record
+    per_file = whole.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), F.max(F.col("is_header").cast("int")).alias("headed"))
+    total = per_file.agg(F.sum(F.col("n") - F.col("headed")).alias("row_count"), F.sum("bad").alias("bad_rows"), F.sum("headed").alias("headed"))
+    headed = (F.col("headed") == F.col("files"))
+    return total.crossJoin(text).select(  # one row each
+        F.col("row_count").cast("long"), F.lit(len(names)).cast("long").alias("column_count"), F.col("bad_rows").cast("long"), headed.alias("header_ok"),
+        ((F.col("bad_rows") == 0) & (F.col("row_count") > 0) & headed & (F.col("garbled") == 0)).alias("is_valid"),
+        F.when(F.col("garbled") > 0, F.format_string("%d line(s) are not UTF-8.", F.col("garbled")))
+        .when(~headed, F.lit("Not every file starts with the same header."))
+        .when(F.col("row_count") == 0, "There are no rows below the header.")
         .when(F.col("bad_rows") > 0, F.format_string("%d row(s) do not match the header width.", F.col("bad_rows")))
         .otherwise("OK").alias("message"),
     )

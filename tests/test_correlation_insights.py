@@ -53,7 +53,7 @@ def test_insights_and_report(spark):
     assert any(r["type"] == "correlation" for r in found)
     assert any(r["type"] == "categorical_dominance" and r["columns"] == ["region"] for r in found)
     rep = report(df).first()
-    assert rep["summary"].startswith("The dataset consists of 40 records across 4 columns.")
+    assert rep["summary"].startswith("40 rows and 4 columns were profiled;")
     assert rep["key_findings"].startswith("• ")
 
 

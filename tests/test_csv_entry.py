@@ -26,6 +26,23 @@ def test_csv_validation(spark, tmp_path):
     assert not validate_csv(spark, str(empty)).first()["is_valid"]
 
 
+def test_csv_headers_and_encoding(spark, tmp_path):
+    one = tmp_path / "one.csv"
+    one.write_text('\ufeff"a,x",b\n"1,2",3\n4,5\n', encoding="utf-8")
+    r = validate_csv(spark, str(one)).first()
+    assert r["column_count"] == 2 and r["bad_rows"] == 0 and r["row_count"] == 2 and r["is_valid"]
+    raw = tmp_path / "latin.csv"
+    raw.write_bytes("a,b\n1,caf\u00e9\n".encode("latin-1"))
+    r = validate_csv(spark, str(raw)).first()
+    assert not r["is_valid"] and "UTF-8" in r["message"]
+    two = tmp_path / "two"
+    two.mkdir()
+    (two / "x.csv").write_text("a,b\n1,2\n")
+    (two / "y.csv").write_text("a,c\n1,2\n")
+    r = validate_csv(spark, str(two)).first()
+    assert not r["header_ok"] and not r["is_valid"]
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
 
