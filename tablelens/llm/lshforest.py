@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
@@ -40,8 +40,8 @@ TREES, DEPTH = 12, 8
 LEAST_DEPTH, NEIGHBOURS = 3, 8
 #: Percent of the union that linked sets share.
 SIMILARITY = 80
-#: Rounds in which each row's best open candidate is confirmed, before all that are left.
-ROUNDS = 2
+#: Candidates of each row that are confirmed before the rest.
+FIRST_PARTNERS = 3
 CACHED_WORDS = 400_000
 #: Ids of candidates that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -238,18 +238,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # Whole sets of the candidates alone, from their texts.
     named = few(ends_of(left)).withColumnRenamed("id", key)
     sets = stored(shingle_sets(docs.select(key, text).join(named, key, "left_semi"), key, text, size).dropDuplicates(["id"]))
-    # Each row's best partner first; what joins different components after these rounds, all at last.
-    links = left.select("a", "b").limit(0)
-    for _ in range(ROUNDS):
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-        best = both.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
-        tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = stored(links.unionByName(confirmed(tried, sets, percent)))
-        found = components(links)
-        root = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
-        apart = left.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-        left = stored(apart.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "score"))
-    ends = components(links.unionByName(confirmed(left, sets, percent)))
+    # Each row's best partners first; then, of all the others, what joins different components.
+    both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+    best = both.withColumn("nth", nth).filter(F.col("nth") <= FIRST_PARTNERS)
+    tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = stored(confirmed(tried, sets, percent))
+    found = stored(components(links))
+    root = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    others = left.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = stored(others.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
+    ends = components(links.unionByName(confirmed(apart, sets, percent)))
     whole = classes.join(ends, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("root", "rep").alias("root"))
     out = rows.select("id", "n", "class").join(whole, "class", "left")
     group = F.coalesce("root", "id")
