@@ -321,6 +321,13 @@ class TableMetrics:
         ]).first()
         return self.spark.createDataFrame([(s.ordinal, *[row[f"{x}{s.ordinal}"] for x in "abc"]) for s in chosen], out)
 
+    def sample_values(self, n: int = 5) -> DataFrame:
+        """(ord, sample_values): the ``n`` smallest distinct values of each column, as text."""
+        order = Window.partitionBy("ord").orderBy(F.col("num").asc_nulls_last(), F.col("key"))
+        # a top-n of each column: limited before the shuffle
+        smallest = self.value_counts.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= n)
+        return smallest.groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "key"))), lambda x: x["key"]).alias("sample_values"))
+
     def release(self) -> None:
         """Drop what this object keeps, and nothing of anybody else's."""
         for name in ("counts_all", "moments", "columns", "identified"):
