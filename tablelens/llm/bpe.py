@@ -34,7 +34,7 @@ LETTER, NUMBER, OTHER, SPACE, WHITE, SPACE_LAST, WHITE_LAST, SHORT, LONG, END =
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, AFTER_WHITE, TWO_MORE, ONE_MORE = range(8)
 STOP = 0x110000  # between texts; not a code point
 ROW = 64  # characters that a scan composes in one row
-CACHED_PIECES, CACHED_CHARS = 400_000, 64
+CACHED_PIECES, CACHED_CHARS = 250_000, 64
 
 
 def rank_file(path: str) -> bytes:

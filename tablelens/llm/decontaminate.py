@@ -34,7 +34,7 @@ from tablelens.llm.frames import lists, pieces, stored
 #: Words in a window; a shorter item is one window.
 WINDOW = 10
 #: Text bytes in an index segment (one document at least).
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Benchmark words that one search job broadcasts; a larger benchmark takes more jobs.
 BLOCK_WORDS = 1_000_000
 #: Possible starts that are checked at once.

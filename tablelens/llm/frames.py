@@ -12,10 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Bytes of text that one call of a text function gets at most (one row at least).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def pieces(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -37,15 +37,17 @@ def map_text(
     make: Callable[[], Callable[[pa.Array], Sequence]],
     carry: Sequence = ("doc_id",),
     limit: int = PIECE_BYTES,
+    keep: str | None = None,
 ) -> DataFrame:
     """The carried columns and, computed from the text column, the output columns.
 
     ``make`` runs once in each task and returns the function that turns a text
     array (nulls included) into one sequence or array for each output column.
-    No other column is read, so extra columns cannot clash.
+    No other column is read, so extra columns cannot clash.  With ``keep`` the
+    text itself is returned too, under that name, before the output columns.
     """
     chosen = df.select(*[F.col(c) if isinstance(c, str) else c for c in carry], F.col(text).cast("string").alias("__text"))
-    kept = chosen.schema.fields[:-1]
+    kept = [*chosen.schema.fields[:-1], *([StructField(keep, StringType())] if keep else [])]
     kinds = [f.type for f in to_arrow_schema(outputs)]
     names = [f.name for f in kept] + outputs.names
 
@@ -55,7 +57,7 @@ def map_text(
             for part in pieces(batch, batch.num_columns - 1, limit):
                 made = work(part.column(part.num_columns - 1))
                 arrays = [a if isinstance(a, pa.Array) else pa.array(a, type=k) for a, k in zip(made, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *arrays], names=names)
 
     return chosen.mapInArrow(run, StructType([*kept, *outputs.fields]))
 

@@ -114,7 +114,7 @@ def find_secrets(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: st
 
 
 def redact(docs: DataFrame, ranks_path: str, text: str = "text", mark: str = "[secret]", digests=()) -> DataFrame:
-    """The rows as one struct column ``row``, ``clean`` (the text with the mark for each merged span) and ``n_found``."""
+    """The other columns as one struct column ``row``, ``clean`` (the text with the mark for each merged span) and ``n_found``."""
 
     def make(texts, column, spans):
         cleaned, counts = [], []
@@ -130,7 +130,7 @@ def redact(docs: DataFrame, ranks_path: str, text: str = "text", mark: str = "[s
         return cleaned, counts
 
     out = StructType().add("clean", StringType()).add("n_found", LongType())
-    return _scan(docs, ranks_path, out, make, (F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),), text, digests)
+    return _scan(docs, ranks_path, out, make, (F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"),), text, digests)
 
 
 def joined(found: Column) -> Column:

@@ -201,8 +201,8 @@ def _feature_rows(rows: DataFrame, weights: dict[str, float], exceptions) -> Dat
     return map_text(rows, "text", out, lambda: (lambda work: lambda c: [list(x) for x in work(c)])(make()), ("k", "y"))
 
 
-def scored(docs: DataFrame, model, text: str = "text", carry=("doc_id",)) -> DataFrame:
-    """The carried columns, score (0 to 1) and predicted (1 if the score is 0.5 or more)."""
+def scored(docs: DataFrame, model, text: str = "text", carry=("doc_id",), keep: str | None = None) -> DataFrame:
+    """The carried columns, the text under the name ``keep`` if given, score (0 to 1) and predicted (1 if the score is 0.5 or more)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     out = StructType().add("score", DoubleType()).add("predicted", IntegerType())
 
@@ -216,4 +216,4 @@ def scored(docs: DataFrame, model, text: str = "text", carry=("doc_id",)) -> Dat
 
         return work
 
-    return map_text(docs, text, out, make, carry)
+    return map_text(docs, text, out, make, carry, keep=keep)
