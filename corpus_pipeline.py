@@ -32,8 +32,9 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic."""
     teaches = F.coalesce(~language.held_out("doc_id", 5, 0), F.lit(False))
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), teaches)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return toxicity.scored(docs, model, carry=(row,)).filter("predicted = 0").select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    made = toxicity.scored(docs, model, carry=(row,), keep="text").filter("predicted = 0")
+    return made.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
