@@ -10,10 +10,6 @@ from tablelens.functions.cleaning import pct
 from tablelens.operators.profile import metrics_of
 from tablelens.plans.passes import TableMetrics, col_ref
 
-# Above this many candidate hashes the exact duplicate check groups all rows
-# directly instead of broadcasting the candidate set.
-DUPLICATE_BROADCAST_LIMIT = 2_000_000
-
 
 def outlier_bounds(cols: DataFrame) -> DataFrame:
     """Per numeric column: (ord, lo, hi, lower_bound, upper_bound, eligible).
@@ -97,28 +93,21 @@ def _normalized_row(df: DataFrame) -> list[Column]:
     return cols
 
 
-def duplicate_rows(df: DataFrame, broadcast_limit: int = DUPLICATE_BROADCAST_LIMIT) -> DataFrame:
+def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: ``duplicate_rows`` = rows beyond the first of each identical row.
 
-    First only 64-bit row hashes are shuffled (partial aggregation collapses
-    repeats map-side); rows whose hash is seen once cannot be duplicates.  If
-    the candidate hash set is small enough to broadcast (checked), only
-    candidate rows are grouped exactly; otherwise all rows are grouped.
+    Only 64-bit row hashes are grouped over all rows (partial aggregation
+    collapses repeats map-side).  Rows whose hash is seen once cannot be
+    duplicates; the others are kept by a semi join, whose strategy is left to
+    the optimiser, and grouped exactly.
     """
     if not df.columns:
         return df.sparkSession.createDataFrame([(0,)], "duplicate_rows long")
     norm = df.select(*_normalized_row(df))
     keys = [col_ref(c) for c in norm.columns]
     hashed = norm.withColumn("__h", F.xxhash64(*keys))
-    cand = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("__h")
-    n_cand = cand.count()
-    if n_cand == 0:
-        return df.sparkSession.createDataFrame([(0,)], "duplicate_rows long")
-    if n_cand <= broadcast_limit:
-        rows = hashed.join(F.broadcast(cand), "__h", "left_semi").drop("__h")
-    else:
-        rows = norm
-    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    seen = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("__h")
+    grouped = hashed.join(seen, "__h", "left_semi").drop("__h").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     return grouped.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
