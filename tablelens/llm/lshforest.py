@@ -7,6 +7,8 @@ longest common prefixes: each row pairs with its ``NEIGHBOURS`` successors
 while they share ``LEAST_DEPTH`` values, so in a dense region the pairs share
 long prefixes and in a sparse one short ones.  In a region each row also pairs
 with the region's first row, which keeps large groups connected by stars.
+Those are the first candidates only: whatever two rows of a region are still
+in different components then are paired too, however many rows it has.
 
 Texts with equal shingle sets form one class first, so copies cost nothing
 more.  Candidates are confirmed on full sets, each row's best first; pairs
@@ -42,6 +44,8 @@ LEAST_DEPTH, NEIGHBOURS = 3, 8
 SIMILARITY = 80
 #: Candidates of each row that are confirmed before the rest.
 FIRST_PARTNERS = 3
+#: Rows of a region that one task pairs with the region's strays.
+SALT_ROWS = 1000
 CACHED_WORDS = 400_000
 #: Ids of candidates that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -190,6 +194,22 @@ def neighbours(trees: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("depth").alias("score"))
 
 
+def region_pairs(trees: DataFrame, found: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """a, b: all pairs of rows (tree, sig, id, n) that share ``LEAST_DEPTH`` values of a tree and are in different components (id, root).
+
+    A region's strays, its rows outside the component that has most of them, meet every row of the region, which are dealt to salted parts.
+    """
+    region = F.xxhash64("tree", F.substring("sig", 1, 4 * LEAST_DEPTH)).alias("region")
+    rows = stored(trees.select(region, "id", "n").join(found, "id", "left").select("region", "id", "n", F.coalesce("root", "id").alias("root")))
+    counts = rows.groupBy("region", "root").agg(F.count("*").alias("rows"))
+    mixed = counts.groupBy("region").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.ceil(F.sum("rows") / SALT_ROWS).alias("salts"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    some = stored(rows.join(mixed, "region"))
+    strays = some.filter("root <> main").select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("a"), F.col("n").alias("x"), F.col("root").alias("root_a"))
+    every = some.select("region", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.col("id").alias("b"), F.col("n").alias("y"), F.col("root").alias("root_b"))
+    met = strays.join(every, ["region", "salt"]).filter((F.col("root_a") != F.col("root_b")) & (100 * F.least("x", "y") >= percent * F.greatest("x", "y")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def few(ids: DataFrame) -> DataFrame:
     """Distinct ids, to be broadcast if they are few; beyond that the join is shuffled."""
     some = stored(ids.distinct())
@@ -234,10 +254,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")))
     heads = classes.filter("rep is not null").select(F.col("rep").alias("id"), "sig", "n")
     parts = [F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH).alias("sig")) for t in range(TREES)]
-    left = stored(neighbours(heads.select("id", "n", F.explode(F.array(*parts)).alias("x")).select("x.tree", "x.sig", "id", "n"), percent))
-    # Whole sets of the candidates alone, from their texts.
-    named = few(ends_of(left)).withColumnRenamed("id", key)
-    sets = stored(shingle_sets(docs.select(key, text).join(named, key, "left_semi"), key, text, size).dropDuplicates(["id"]))
+    trees = heads.select("id", "n", F.explode(F.array(*parts)).alias("x")).select("x.tree", "x.sig", "id", "n")
+    left = stored(neighbours(trees, percent))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Whole sets of the candidates alone, from their texts."""
+        named = few(ends_of(pairs)).withColumnRenamed("id", key)
+        return stored(shingle_sets(docs.select(key, text).join(named, key, "left_semi"), key, text, size).dropDuplicates(["id"]))
+
+    sets = sets_of(left)
     # Each row's best partners first; then, of all the others, what joins different components.
     both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
@@ -248,7 +273,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     root = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
     others = left.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     apart = stored(others.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
-    ends = components(links.unionByName(confirmed(apart, sets, percent)))
+    links = stored(links.unionByName(confirmed(apart, sets, percent)))
+    ends = stored(components(links))
+    # What the windows left out: all pairs of a region that are still apart.
+    rest = stored(region_pairs(trees, ends, percent).join(left, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        ends = components(links.unionByName(confirmed(rest, sets_of(rest), percent)))
     whole = classes.join(ends, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("root", "rep").alias("root"))
     out = rows.select("id", "n", "class").join(whole, "class", "left")
     group = F.coalesce("root", "id")

@@ -60,6 +60,19 @@ def test_components_equal_brute_force(docs_of, size):
     assert sorted(tuple(r) for r in got) == brute(rows, size)
 
 
+def test_strays_of_a_large_region(docs_of):
+    """Near copies of which many are linked with a few members only, more in a region than the window holds."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(400):
+        copy = [f"b{j}" for j in range(100)]
+        for j in rng.sample(range(100), 4 if i % 8 else 8):
+            copy[j] = f"r{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = L.near_duplicates(docs_of(rows), size=2).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 2)
+
+
 def test_neighbours_across_partitions(spark):
     rng = np.random.default_rng(2)
     sig = rng.integers(0, 2, (400, L.DEPTH)).astype(">u4")
