@@ -31,3 +31,12 @@ def test_small_tables(docs_of):
     assert H.shard_rows(docs_of([])).count() == 0
     got = H.shard_rows(docs_of([(1, "a"), (1, "a"), (None, None)]), 24).collect()
     assert sorted((r.slot for r in got)) == [0, 0, 0] and len({r.shard for r in got}) == 3
+
+
+def test_groups_that_fit_stay_whole(docs_of):
+    texts = [f"text {i}" for i in range(1500)] + [f"pair {i // 2}" for i in range(100)] + [f"twenty {i // 20}" for i in range(200)] + ["hundred"] * 100
+    got = {r.doc_id: r.shard for r in H.shard_rows(docs_of(list(enumerate(texts))), 4).collect()}
+    shards = {}
+    for i, t in enumerate(texts):
+        shards.setdefault(t, set()).add(got[i])
+    assert all(len(s) == 1 for s in shards.values())
