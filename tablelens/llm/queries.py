@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, decontaminate, language, licenses, lshforest, neighbours, pagetext, secrets, sharding, toxicity
+from tablelens.llm import bpe, decontaminate, infill, language, licenses, lshforest, neighbours, pagetext, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+             CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS lo, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS hi,
+             CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(w[1:lo], '') AS a, array_to_string(w[lo + 1:hi], '') AS m, array_to_string(w[hi + 1:], '') AS z FROM c)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n, form,
+       CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM p
+"""
+
+
+@_query("op13_fill_in_middle", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(_table(spark, sf_dir, "documents"))
