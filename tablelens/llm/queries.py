@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, decontaminate, infill, language, licenses, lshforest, neighbours, pagetext, secrets, sharding, toxicity
+from tablelens.llm import bpe, decontaminate, infill, language, licenses, lshforest, neighbours, packing, pagetext, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +116,8 @@ FROM p
 @_query("op13_fill_in_middle", _OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
