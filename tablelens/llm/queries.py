@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, decontaminate, infill, language, licenses, lshforest, neighbours, packing, pagetext, secrets, sharding, toxicity
+from tablelens.llm import bpe, decontaminate, infill, language, licenses, lshforest, neighbours, packing, pagetext, resampling, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +121,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_packing")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
