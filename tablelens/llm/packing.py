@@ -7,9 +7,10 @@ own: none crosses documents and none needs padding.  Sequences of one length
 form a bucket of consecutive numbers, longest bucket first, so that a training
 job takes batches of one length by a range of numbers.
 
-White space always parts tokens of the vocabulary's tokenizer, so the words
-between ASCII white space are encoded once and kept; a document's ids are
-those of its words in a row.
+The tokenizer cuts a text into parts, which white space always separates, and
+encodes each part alone.  So parts of plain text, and whole words of other
+text, are encoded once and kept; a document's ids are those of its parts in a
+row.
 
 Numbers come from counts: each task numbers the pieces of each length that it
 makes and writes them with its own number; sums over the small table of counts
@@ -24,6 +25,7 @@ number follows the order of the input's partitions.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,45 +41,83 @@ from tablelens.llm.frames import BROADCAST_KEYS, PIECE_BYTES, pieces, stored
 #: Tokens of the longest sequence, a power of two.
 SEQUENCE = 4096
 END = 2
-#: Words and bytes of words that a task keeps the ids of.
-CACHED_WORDS, CACHED_BYTES = 400_000, 32 << 20
+#: Units and characters of units that a task keeps the ids of.
+CACHED_WORDS, CACHED_CHARS = 400_000, 32 << 20
 
 
-class WordIds(dict):
-    """Number of each word met; ``flat`` and ``ends`` hold the ids of the numbered words."""
+#: Characters whose lower case and class are plain: ASCII, and Latin letters that normalisation leaves as they are.
+_LATIN = "À-ÖØ-öø-įı-ſ"
+PLAIN = re.compile(rf"[\t-\r\x20-\x7E{_LATIN}]*")
+#: The tokenizer's own parts of lower-cased plain text, and the words of any text.
+UNIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\t-\r\x20a-z0-9{_LATIN}]+")
+WORD = re.compile(r"[^\t-\r\x20]+")
+SPECIAL = "<|"
+
+
+class Encoder(dict):
+    """Number of each unit met; ``flat`` and ``ends`` hold the ids of the numbered units.
+
+    A unit is a part of plain text, or, after a blank, a whole word of other text.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine's cores already
         self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.new: list[bytes] = []
+        self.new: list[str] = []
         self.size = 0
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        self.size += len(word)
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        self.new.append(unit)
+        self.size += len(unit)
         return number
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def units(self, text: str) -> list[str]:
+        if PLAIN.fullmatch(text) and SPECIAL not in text:
+            return UNIT.findall(text.lower())
+        out = []
+        for word in WORD.findall(text):
+            if PLAIN.fullmatch(word) and SPECIAL not in word:
+                out += UNIT.findall(word.lower())
+            else:
+                out.append(" " + word)
+        return out
+
+    def _learn(self) -> None:
+        """Ids of the new units: those of plain text in one run, told apart by the tokens that close a part."""
+        plain = [u for u in self.new if u[0] != " "]
+        other = [u for u in self.new if u[0] == " "]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(plain):
+            raise ValueError("the tokenizer does not close each part of a text with one token")
+        made = dict(zip(plain, np.split(ids, ends)))
+        made.update((u, np.array(e.ids, np.uint32)) for u, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
+        parts = [made[u] for u in self.new]
+        self.flat = np.concatenate([self.flat, *parts])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in parts])])
+        self.new = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self) > CACHED_WORDS or self.size > CACHED_BYTES:
+        if len(self) > CACHED_WORDS or self.size > CACHED_CHARS:
             self.forget()
-        numbers = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in (t.split() for t in texts)]
+        numbers = [np.fromiter(map(self.__getitem__, units), np.int64, len(units)) for units in map(self.units, texts)]
         if self.new:
-            made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in made for i in ids), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in made])])
-            self.new = []
+            self._learn()
         return [self.ids_of(x) for x in numbers]
 
-    def ids_of(self, words: np.ndarray) -> np.ndarray:
-        begins = self.ends[words]
-        n = self.ends[words + 1] - begins
+    def ids_of(self, units: np.ndarray) -> np.ndarray:
+        begins = self.ends[units]
+        n = self.ends[units + 1] - begins
         return self.flat[np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
@@ -95,13 +135,13 @@ def _cut(docs: DataFrame, tokenizer: str, key: str, text: str, end: int, most: i
     out = StructType([chosen.schema[0]]).add("start", LongType()).add("length", LongType()).add("ids", BinaryType()).add("doc_tokens", LongType()).add("part", IntegerType()).add("nth", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(sent.value)
+        encoder = Encoder(sent.value)
         part = TaskContext.get().partitionId()
         made_so_far: dict[int, int] = {}
         for batch in batches:
             for some in pieces(batch, 1, PIECE_BYTES):
                 rows, starts, lengths, blobs, totals, nths = [], [], [], [], [], []
-                for row, ids in enumerate(encoder.encode([t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()])):
+                for row, ids in enumerate(encoder.encode([t or "" for t in some.column(1).to_pylist()])):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     at = 0
                     for n in binary_lengths(len(ids), most):
