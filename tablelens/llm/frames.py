@@ -78,7 +78,33 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once all that is made of them is stored itself."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: The column that tells the rows of a table apart.
+ROW = "__row_of_table"
+
+
+def with_rows(df: DataFrame) -> DataFrame:
+    """The table with a column ``ROW``: the digest of the row's file and the row's place in it.
+
+    It is the same in every pass, on any executor and however files are split.  A frame
+    that is no table as read is stored first.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = stored(df)
+    meta = df.metadataColumn("_metadata")
+    return df.select("*", F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at")).alias(ROW))
 
 
 #: Keys that a filter broadcasts at most; beyond it the join is shuffled.
@@ -86,9 +112,10 @@ BROADCAST_KEYS = 1_000_000
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is not among ``keys``. Few keys are broadcast, so the rows need no shuffle."""
+    """The rows whose key is not among ``keys``, less the column ``ROW``. Few keys are broadcast, so the rows need no shuffle."""
     some = stored(keys.select(key).distinct())
-    return df.join(F.broadcast(some) if some.count() <= BROADCAST_KEYS else some, key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    left = df.join(F.broadcast(some) if some.count() <= BROADCAST_KEYS else some, key, "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in df.columns if c != ROW])
 
 
 def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:

@@ -4,11 +4,19 @@ Every tree orders the distinct texts by a sequence of MinHash values.  Rows
 are range-partitioned and sorted by the whole sequence, so a large group of
 near copies spreads over tasks.  Candidates are the neighbours with the
 longest common prefixes: each row pairs with its ``NEIGHBOURS`` successors
-while they share ``LEAST_DEPTH`` values, so in a dense region the pairs share
-long prefixes and in a sparse one short ones.  In a region each row also pairs
-with the region's first row, which keeps large groups connected by stars.
-Those are the first candidates only: whatever two rows of a region are still
-in different components then are paired too, however many rows it has.
+while they share ``LEAST_DEPTH`` values, so the depth of a pair's prefix adapts
+to its region: long in a dense one, short in a sparse one.  In a region each row
+also pairs with the region's first row, which keeps large groups connected by
+stars.
+
+Those are the first candidates only.  Rows of a region (``LEAST_DEPTH`` equal
+values in a tree) that are still in different components are all compared
+then, however many they are: they are dealt to blocks, and each task compares
+the parity bitmaps of its block.  An element that two sets do not share flips
+one bit, so the bits in which two bitmaps differ are at most the elements in
+which the sets do; a pair with too many cannot be linked, and no link is lost.
+Only what passes leaves the task: first the closest row of each other
+component, then all of what is still apart.
 
 Texts with equal shingle sets form one class first, so copies cost nothing
 more.  Candidates are confirmed on full sets, each row's best first; pairs
@@ -16,13 +24,17 @@ whose ends are connected by then need no confirmation, so a group of near
 copies is never compared all with all.  Classes are connected by alternating large and
 small stars (Kiveris et al. 2014) as Spark joins.
 
+Links are between rows of the input, numbered once and stored; keys are only
+reported.  Tables that cut lineage are deleted when nothing reads them any more.
+
 Words: A-Z lower-cased, split at white space.  A set: the distinct shingles of
 ``size`` words; fewer words make one shingle of all.
 
 Defined results: a null, empty or blank text has no set (``n_shingles`` 0), is
 linked with nothing and kept; repeated rows and equal texts fall into one
 component; extra columns are not read.  Keys are integers; rows with a null
-key take part, but a component's id is its smallest non-null key.
+key take part, but a component's id is its smallest non-null key.  Rows that
+share a key but not their text are rows of their own.
 """
 
 from __future__ import annotations
@@ -36,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from tablelens.llm.frames import lists, map_text, stored, without
+from tablelens.llm.frames import ROW, discard, lists, map_text, stored, with_rows, without
 
 TREES, DEPTH = 12, 8
 LEAST_DEPTH, NEIGHBOURS = 3, 8
@@ -44,8 +56,10 @@ LEAST_DEPTH, NEIGHBOURS = 3, 8
 SIMILARITY = 80
 #: Candidates of each row that are confirmed before the rest.
 FIRST_PARTNERS = 3
-#: Rows of a region that one task pairs with the region's strays.
-SALT_ROWS = 1000
+#: Rows on a side of the blocks that a region is dealt to, and shingles in their sets, on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 16_000_000
+#: Rows of partitions' ends that one task takes.
+BORDER_ROWS = 100_000
 CACHED_WORDS = 400_000
 #: Ids of candidates that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -98,49 +112,61 @@ def signature(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best.astype(">u4")
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """id, n (set size), class (128-bit digest of the set), sig (all trees' values)."""
-    out = StructType().add("n", LongType()).add("class", BinaryType()).add("sig", BinaryType())
+def parity(x: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: each element flips one bit. Its length, at least 8 bits an element, is a power of two."""
+    bits = 64 << max(0, (len(x) - 1).bit_length() - 3)
+    return np.packbits(np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little")
+
+
+def signatures(docs: DataFrame, key: str, text: str, size: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, the carried columns, n (set size), class (128-bit digest of the set), sig (all trees' values), bits (parity bitmap)."""
+    out = StructType().add("n", LongType()).add("class", BinaryType()).add("sig", BinaryType()).add("bits", BinaryType())
 
     def make():
         a, b = minhash_functions()
         hashes = _Hashes()
 
         def work(column: pa.Array):
-            ns, classes, sigs = [], [], []
+            ns, classes, sigs, bits = [], [], [], []
             for t in column.cast(pa.binary()).to_pylist():
                 x = shingle_set(t, size, hashes) if t else np.zeros(0, np.uint64)
                 ns.append(len(x))
-                classes.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
+                classes.append(_digest(x) if len(x) else None)
                 sigs.append(signature(x, a, b).tobytes() if len(x) else b"")
+                bits.append(parity(x).tobytes() if len(x) else b"")
             hashes.trim()
-            return ns, classes, sigs
+            return ns, classes, sigs, bits
 
         return work
 
-    return map_text(docs, text, out, make, (F.col(key).alias("id"),))
+    return map_text(docs, text, out, make, (F.col(key).alias("id"), *carry))
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """id, grams (the whole set)."""
+def _digest(x: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(x.tobytes())
+
+
+def shingle_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """class, grams (the whole set)."""
 
     def make():
         hashes = _Hashes()
 
         def work(column: pa.Array):
-            sets = [shingle_set(t or b"", size, hashes).view(np.int64) for t in column.cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(t or b"", size, hashes) for t in column.cast(pa.binary()).to_pylist()]
             hashes.trim()
-            return [lists(np.concatenate(sets), np.cumsum([len(x) for x in sets]))]
+            return [list(map(_digest, sets)), lists(np.concatenate(sets).view(np.int64), np.cumsum([len(x) for x in sets]))]
 
         return work
 
-    return map_text(docs, text, StructType().add("grams", ArrayType(LongType(), False)), make, (F.col(key).alias("id"),))
+    return map_text(docs, text, StructType().add("class", BinaryType()).add("grams", ArrayType(LongType(), False)), make, ())
 
 
 def neighbours(trees: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """a, b, score: pairs of rows (tree, sig, id, n) that stand near each other in trees' orders.
 
     The score sums the common prefixes over the trees.  Pairs whose sizes differ too much for a link are left out.
+    The rows at partitions' ends go through the same pass again, in fewer and fewer partitions, until one holds all that is left.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What the next batch must still see: the last rows, and the first row of the region they are in.
@@ -185,29 +211,98 @@ def neighbours(trees: DataFrame, percent: int = SIMILARITY) -> DataFrame:
 
     names = ["a", "b", "depth", "tree", "sig"]
     out = "a long, b long, depth long, tree int, sig binary"
-    tasks = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("tree", "sig", "id")
-    inner = stored(trees.select(*order, "n").repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, out))
-    # A few rows from each partition's ends: their number is bounded by the number of partitions.
-    ends = inner.filter("b is null").select("tree", "sig", F.col("a").alias("id"), F.col("depth").alias("n")).repartition(1).sortWithinPartitions(*order)
-    both = inner.unionByName(ends.mapInArrow(run, out)).filter("b is not null")
-    return both.groupBy("a", "b").agg(F.sum("depth").alias("score"))
-
-
-def region_pairs(trees: DataFrame, found: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """a, b: all pairs of rows (tree, sig, id, n) that share ``LEAST_DEPTH`` values of a tree and are in different components (id, root).
-
-    A region's strays, its rows outside the component that has most of them, meet every row of the region, which are dealt to salted parts.
+    tasks = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, passes = trees.select(*order, "n"), []
+    while True:
+        passes.append(stored(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, out)))
+        if tasks == 1:
+            break
+        rows = passes[-1].filter("b is null").select("tree", "sig", F.col("a").alias("id"), F.col("depth").alias("n"))
+        tasks = max(1, min(tasks // 2, -(-2 * NEIGHBOURS * tasks // BORDER_ROWS)))
+    pairs = passes[0]
+    for p in passes[1:]:
+        pairs = pairs.unionByName(p)
+    made = stored(pairs.filter("b is not null").groupBy("a", "b").agg(F.sum("depth").alias("score")))
+    discard(*passes)
+    return made
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Parity bitmaps (rows of 64-bit words) of a shorter length: halves laid over each other."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def close_pairs(strays: tuple, others: tuple, most: int | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, apart: strays and rows of other components that the bitmaps cannot tell to be unlinked.
+
+    Either side is (ids, sizes, roots, bitmaps as bytes).  With ``most``, that many of each stray and component, the closest first.
+    """
+    ids, sizes, roots, blobs = others
+    width = np.array([len(x) // 8 for x in blobs])
+    groups = [(w, np.flatnonzero(width == w)) for w in np.unique(width)]
+    stacks = {w: np.frombuffer(b"".join(blobs[i] for i in at), np.uint64).reshape(-1, w) for w, at in groups}
+    made = []
+    for i, n, root, blob in zip(*strays):
+        own = np.frombuffer(blob, np.uint64)[None, :]
+        for w, at in groups:
+            ok = (roots[at] != root) & (100 * np.minimum(sizes[at], n) >= percent * np.maximum(sizes[at], n))
+            if not ok.any():
+                continue
+            least = min(w, own.shape[1])
+            apart = np.bitwise_count(_folded(stacks[w][ok], least) ^ _folded(own, least)).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * (sizes[at[ok]] + n)
+            made.append((np.full(near.sum(), i), at[ok][near], apart[near]))
+    if not made:
+        return (np.zeros(0, np.int64),) * 3
+    a, at, apart = (np.concatenate(c) for c in zip(*made))
+    if most is not None:
+        order = np.lexsort((ids[at], apart, roots[at], a))
+        a, at, apart = a[order], at[order], apart[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (roots[at][1:] != roots[at][:-1])) if len(a) else np.zeros(0, bool)
+        nth = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+        a, at, apart = a[nth < most], at[nth < most], apart[nth < most]
+    return a, ids[at], apart
+
+
+def region_candidates(trees: DataFrame, found: DataFrame, bitmaps: DataFrame, most: int | None, percent: int = SIMILARITY) -> DataFrame:
+    """a, b: pairs of rows (tree, sig, id, n) of one region, in different components (id, root), that their bitmaps (id, bits) allow a link.
+
+    A region's strays, its rows outside the component that has most of them, meet every row of the
+    region, block by block; see ``close_pairs`` for ``most``.
     """
     region = F.xxhash64("tree", F.substring("sig", 1, 4 * LEAST_DEPTH)).alias("region")
     rows = stored(trees.select(region, "id", "n").join(found, "id", "left").select("region", "id", "n", F.coalesce("root", "id").alias("root")))
-    counts = rows.groupBy("region", "root").agg(F.count("*").alias("rows"))
-    mixed = counts.groupBy("region").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.ceil(F.sum("rows") / SALT_ROWS).alias("salts"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    counts = rows.groupBy("region", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    blocks = lambda rows, n: F.ceil(F.greatest(rows / BLOCK_ROWS, n / BLOCK_SHINGLES, F.lit(1)))
+    main = F.max(F.struct("rows", "root", "n"))
+    mixed = counts.groupBy("region").agg(main.alias("main"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1").select(
+        "region", F.col("main.root").alias("main"), blocks(F.col("rows"), F.col("n")).alias("wide"), blocks(F.col("rows") - F.col("main.rows"), F.col("n") - F.col("main.n")).alias("high"))
     some = stored(rows.join(mixed, "region"))
-    strays = some.filter("root <> main").select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("a"), F.col("n").alias("x"), F.col("root").alias("root_a"))
-    every = some.select("region", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.col("id").alias("b"), F.col("n").alias("y"), F.col("root").alias("root_b"))
-    met = strays.join(every, ["region", "salt"]).filter((F.col("root_a") != F.col("root_b")) & (100 * F.least("x", "y") >= percent * F.greatest("x", "y")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = bitmaps.join(few(some.select("id")), "id", "left_semi")
+    whole = some.join(known, "id")
+    dealt = lambda side, own, own_blocks, other, other_blocks: side.select(
+        "region", F.pmod(F.xxhash64("id"), F.col(own_blocks)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_blocks) - 1)).alias(other), F.lit(own == "y").alias("stray"), "id", "n", "root", "bits")
+    both = dealt(whole.filter("root <> main"), "y", "high", "x", "wide").unionByName(dealt(whole, "x", "wide", "y", "high"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        ids, n, root = (block.column(c).to_numpy() for c in ("id", "n", "root"))
+        bits, stray = block.column("bits").to_pylist(), block.column("stray").to_numpy()
+        side = lambda at: (ids[at], n[at], root[at], [bits[i] for i in at])
+        a, b, apart = close_pairs(side(np.flatnonzero(stray)), side(np.flatnonzero(~stray)), most, percent)
+        return pa.table({"a": a, "b": b, "apart": apart})
+
+    pairs = both.groupBy("region", "x", "y").applyInArrow(compare, "a long, b long, apart long")
+    if most is not None:  # the closest of all regions and blocks
+        root_b = found.select(F.col("id").alias("b"), "root")
+        nth = F.row_number().over(Window.partitionBy("a", F.coalesce("root", "b")).orderBy("apart", "b"))
+        pairs = pairs.distinct().join(root_b, "b", "left").withColumn("nth", nth).filter(F.col("nth") <= most)
+    out = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    discard(rows, some)
+    return out
 
 
 def few(ids: DataFrame) -> DataFrame:
@@ -242,25 +337,29 @@ def components(links: DataFrame) -> DataFrame:
         made = small.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
         after = stored(made.filter("u < v").distinct())
         same = after.join(edges, ["v", "u"], "left_anti").isEmpty() and edges.join(after, ["v", "u"], "left_anti").isEmpty()
+        discard(edges)
         edges = after
         if same:
             return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = SIMILARITY) -> DataFrame:
-    """key, n_shingles, component_id (smallest key of the component), kept (key = component_id)."""
-    rows = stored(signatures(docs, key, text, size))
-    # A class: rows of one set. Its id is its smallest key; a class without any key has only itself.
-    classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")))
-    heads = classes.filter("rep is not null").select(F.col("rep").alias("id"), "sig", "n")
+def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, the carried columns, row, n, best: the first row (keyless, id, row) of the row's component, null for rows without a set."""
+    rows = stored(signatures(docs, key, text, size, carry).withColumn("row", F.monotonically_increasing_id()))
+    # A class: rows of one set. The first by key stands for it.
+    head = F.min(F.struct(F.col("id").isNull().alias("keyless"), "id", "row")).alias("head")
+    classes = stored(rows.filter("class is not null").groupBy("class").agg(head, F.first("sig").alias("sig"), F.first("n").alias("n")))
     parts = [F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH).alias("sig")) for t in range(TREES)]
-    trees = heads.select("id", "n", F.explode(F.array(*parts)).alias("x")).select("x.tree", "x.sig", "id", "n")
-    left = stored(neighbours(trees, percent))
+    trees = classes.select(F.col("head.row").alias("id"), "n", F.explode(F.array(*parts)).alias("x")).select("x.tree", "x.sig", "id", "n")
+    left = neighbours(trees, percent)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """Whole sets of the candidates alone, from their texts."""
-        named = few(ends_of(pairs)).withColumnRenamed("id", key)
-        return stored(shingle_sets(docs.select(key, text).join(named, key, "left_semi"), key, text, size).dropDuplicates(["id"]))
+        wanted = stored(classes.select("class", "head").join(few(ends_of(pairs)), F.col("head.row") == F.col("id"), "left_semi").select("class", F.col("head.id").alias("key"), F.col("head.row").alias("id")))
+        hint = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
+        texts = docs.select(F.col(key).alias("of"), F.col(text).alias("text")).join(hint(wanted.select("key").distinct()), F.col("of").eqNullSafe(F.col("key")), "left_semi")
+        made = shingle_sets(texts, "text", size).join(hint(wanted.select("class", "id")), "class").select("id", "grams")
+        return stored(made.dropDuplicates(["id"]))
 
     sets = sets_of(left)
     # Each row's best partners first; then, of all the others, what joins different components.
@@ -274,22 +373,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     others = left.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     apart = stored(others.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
     links = stored(links.unionByName(confirmed(apart, sets, percent)))
+    discard(sets, left)
     ends = stored(components(links))
-    # What the windows left out: all pairs of a region that are still apart.
-    rest = stored(region_pairs(trees, ends, percent).join(left, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        ends = components(links.unionByName(confirmed(rest, sets_of(rest), percent)))
-    whole = classes.join(ends, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("root", "rep").alias("root"))
-    out = rows.select("id", "n", "class").join(whole, "class", "left")
-    group = F.coalesce("root", "id")
+    tried = tried.unionByName(apart)
+    # What the windows left out: first the closest of each other component, then all that is still apart.
+    for most in (1, None):
+        near = region_candidates(trees, ends, rows.select(F.col("row").alias("id"), "bits"), most, percent)
+        fresh = stored(near.join(tried, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            sets = sets_of(fresh)
+            links = stored(links.unionByName(confirmed(fresh, sets, percent)))
+            discard(sets)
+            ends = stored(components(links))
+            tried = tried.unionByName(fresh)
+    heads = classes.select("class", "head")
+    linked = heads.join(ends, F.col("head.row") == F.col("id")).select("class", "head", "root")
+    merged = linked.join(linked.groupBy("root").agg(F.min("head").alias("best")), "root").select("class", "best")
+    whole = heads.join(merged, "class", "left").select("class", F.coalesce("best", "head").alias("best"))
+    out = stored(rows.select("id", *carry, "row", "n", "class").join(whole, "class", "left").drop("class"))
+    discard(rows, classes)
+    return out
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = SIMILARITY) -> DataFrame:
+    """key, n_shingles, component_id (smallest key of the component), kept (key = component_id)."""
+    group = F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id"))
+    out = _grouped(docs, key, text, size, percent)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("id") == group, group.isNull()).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = SIMILARITY) -> DataFrame:
-    """The documents with one row of each component: that of its smallest key. Rows without a key stay."""
-    found = stored(near_duplicates(docs, key, text, size, percent))
-    left = without(docs, found.filter(~F.col("kept") & F.col(key).isNotNull()), key)
-    repeated = stored(found.filter("kept").groupBy(key).count().filter("count > 1").dropna().select(key))
-    if repeated.isEmpty():
-        return left
-    return without(left, repeated, key).unionByName(left.join(repeated, key, "left_semi").dropDuplicates([key]).select(*left.columns))
+    """The documents with one row of each component: that of its smallest key, or any where no row has one.
+
+    Rows without words stay, but of those that share a key one does.
+    """
+    rows = with_rows(docs)
+    found = _grouped(rows, key, text, size, percent, (ROW,))
+    copies = found.filter(F.col("row") != F.col("best.row")).select(ROW)
+    bare = found.filter("best is null and id is not null")
+    first = bare.groupBy("id").agg(F.min("row").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    return without(rows, copies.unionByName(bare.join(first, "id").filter("row <> first").select(ROW)), ROW)

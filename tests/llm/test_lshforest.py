@@ -96,3 +96,49 @@ def test_edges(docs_of):
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (6, "a b c d e f g"), (7, None), (7, None), (None, "q r s t u v w")]
     left = sorted(((r.doc_id, r.text) for r in L.one_of_each(docs_of(rows)).collect()), key=str)
     assert left == sorted([(5, "a b c d e f g"), (7, None), (None, "q r s t u v w")], key=str)
+
+
+def test_borders_of_borders(spark, monkeypatch):
+    monkeypatch.setattr(L, "BORDER_ROWS", 20)
+    test_neighbours_across_partitions(spark)
+
+
+@pytest.mark.parametrize("most", [None, 1])
+def test_no_link_is_lost_by_the_bitmaps(most):
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (1, 3, 40, 60, 700, 9000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for changed in (0, 0.02, 0.08, 0.1, 0.12, 0.2, 0.9):
+            x = base.copy()
+            at = rng.random(n) < changed
+            x[at] = rng.integers(0, 1 << 63, at.sum(), dtype=np.uint64)
+            sets.append(np.unique(x))
+    ids, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    roots = ids // 2 * 2
+    side = (ids, sizes, roots, [L.parity(x).tobytes() for x in sets])
+    a, b, apart = L.close_pairs(side, side, most, 80)
+    found = set(zip(a.tolist(), b.tolist()))
+    for i in ids:
+        linked = {}
+        for j in ids:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            differ = sizes[i] + sizes[j] - 2 * common
+            if roots[i] != roots[j] and 100 * common >= 80 * (sizes[i] + sizes[j] - common):
+                linked.setdefault(roots[j], []).append(j)
+            assert all(d <= differ for d in apart[(a == i) & (b == j)])
+        for root, js in linked.items():
+            if most is None:
+                assert all((i, j) in found for j in js)
+            else:
+                assert sum(roots[y] == root for x, y in found if x == i) == 1
+
+
+def test_rows_are_judged_not_keys(docs_of):
+    """Rows without a key, and rows that share one, are rows of their own."""
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "one two three four five six"
+    rows = [(1, a), (None, a), (None, a), (2, b), (2, c), (3, b), (None, c), (None, c + " seven"), (4, None), (4, c + " 7 8 9 10")]
+    left = sorted(((r.doc_id, r.text) for r in L.one_of_each(docs_of(rows)).collect()), key=str)
+    assert left == sorted([(1, a), (2, b), (2, c), (None, c + " seven"), (4, None), (4, c + " 7 8 9 10")], key=str)
+    got = sorted((tuple(r) for r in L.near_duplicates(docs_of(rows)).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(1, 1, True), (None, 1, False), (None, 1, False), (2, 2, True), (2, 2, True), (3, 2, False), (None, 2, False), (None, None, True), (4, 4, True), (4, 4, True)], key=str)

@@ -4,7 +4,7 @@ from test_decontaminate import brute as contaminated
 from test_lshforest import brute as components
 
 import corpus_pipeline as C
-from llm_fixtures import SF_SMALL, ranks  # noqa: F401
+from llm_fixtures import SF_SMALL, docs_of, ranks  # noqa: F401
 
 from tablelens.llm import bpe, language, secrets, toxicity
 from tablelens.llm.frames import stored
@@ -64,3 +64,17 @@ def test_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF_SMALL}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_judge_rows(spark, docs_of, tmp_path):
+    """A null id does not save a contaminated row or a copy; a shared id does not condemn a clean one."""
+    passage = " ".join(f"bench{i}" for i in range(12))
+    copied = "this text of ten or so words is here several times"
+    rows = [(None, f"before {passage} after"), (7, f"{passage} again"), (7, "a clean text that shares its id"), (8, copied), (None, copied), (8, "other words are here under the same id")]
+    spark.createDataFrame([("b1", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_of(rows)
+    got = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    clean = C.benchmark_out(spark, docs, str(tmp_path))
+    assert got(clean) == sorted(rows[2:], key=str) and clean.columns == docs.columns
+    one = C.near_duplicates_out(spark, stored(docs), str(tmp_path))
+    assert got(one) == sorted([*rows[:4], rows[5]], key=str) and one.columns == docs.columns
