@@ -5,9 +5,13 @@ documents that hold a benchmark passage go, secrets are replaced by a mark,
 and what is left is encoded with a byte-level BPE vocabulary.  All stages but
 the last return the columns of ``documents``.
 
+Every decision is made for a row and carried out on that row, told by its
+place in the stage's table, never by ``doc_id``: rows without an id are judged
+like all others, and rows that share one are judged one by one.
+
 Defined results: documents without text pass every stage and have no tokens;
-documents without an id are filtered as to toxicity only and their secrets
-replaced; of repeated rows one stays; an empty table gives an empty result.
+of repeated rows one stays (rows without both id and text all stay); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.llm import bpe, decontaminate, language, lshforest, secrets, toxicity
-from tablelens.llm.frames import stored, without
+from tablelens.llm.frames import ROW, stored, with_rows, without
 
 #: SQL cannot express the learned and the iterative stages; tests/llm checks them against brute force.
 ORACLE_SQL = None
@@ -44,8 +48,9 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
-    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return without(docs, found.filter("contaminated"), "doc_id")
+    rows = with_rows(docs)
+    found = decontaminate.contamination(rows, _table(spark, sf_dir, "benchmark"), key=ROW)
+    return without(rows, found.filter("contaminated"), ROW)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
