@@ -25,7 +25,7 @@ from tablelens.operators.templates import (
 )
 from tablelens.plans import oracle as O
 from tablelens.plans.catalog import register, table
-from tablelens.session import ensure_checkpoint_dir
+from tablelens.session import conf_override, ensure_checkpoint_dir
 from tablelens.sources.csv import read_csv, validate_csv, write_csv
 
 VIEW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
@@ -362,6 +362,36 @@ def q_csv_validate_bad(spark, sf_dir):
     return validate_csv(spark, path)
 
 
+# texts with line breaks, quotes and commas in one file of many splits
+_NOTE = "'line ' || CAST(o_orderkey AS VARCHAR) || chr(10) || 'says \"' || o_orderstatus || '\", twice' || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || chr(10) || '\"' ELSE '' END"
+
+
+@register("csv_multiline_orders",
+          f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'plain' ELSE {_NOTE} END AS note, o_totalprice FROM orders")
+def q_csv_multiline(spark, sf_dir):
+    path = _csv_folder(spark, sf_dir, "orders-lines")
+    k, lf = F.col("o_orderkey"), F.lit("\n")
+    tail = F.when(k % 3 == 0, F.concat(lf, lf, F.lit('"'))).otherwise("")
+    note = F.concat(F.lit("line "), k.cast("string"), lf, F.lit('says "'), "o_orderstatus", F.lit('", twice'), tail)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 5 == 0, "plain").otherwise(note).alias("note"), "o_totalprice")
+    write_csv(rows.coalesce(1), path)
+    with conf_override(spark, "spark.sql.files.maxPartitionBytes", "100000"):  # so that even a small file has many splits
+        return read_csv(spark, path).checkpoint()
+
+
+# the same texts are no fault of the table
+@register("csv_validate_multiline",
+          "SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(2 AS BIGINT) AS column_count, count(*) FILTER (o_orderkey % 10 = 0) AS bad_rows, true AS header_ok, "
+          "false AS is_valid, CAST(count(*) FILTER (o_orderkey % 10 = 0) AS VARCHAR) || ' row(s) do not match the header width.' AS message FROM orders")
+def q_csv_validate_multiline(spark, sf_dir):
+    path = _csv_folder(spark, sf_dir, "orders-lines-bad")
+    k = F.col("o_orderkey").cast("string")
+    line = F.concat(k, F.lit(',"a\n""b"",'), k, F.lit('\n"'), F.when(F.col("o_orderkey") % 10 == 0, ",1").otherwise(""))
+    top = spark.createDataFrame([('k,"v\nw"',)], "line string")
+    top.unionByName(table(spark, sf_dir, "orders").select(line.alias("line"))).coalesce(1).write.mode("overwrite").text(path)
+    return validate_csv(spark, path)
+
+
 # the name rule of the templates does not see "o_orderkey" as an id ("key" must
 # follow "_" or a space), so the first measure of orders is o_orderkey
 @register("suggested_total_by_category_orders",

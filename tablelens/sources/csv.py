@@ -12,11 +12,13 @@ row of counts per file.
 from __future__ import annotations
 
 import csv
+import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.plans.passes import col_ref
+from tablelens.sources import records as R
 
 # ---------------------------------------------------------------------------
 # The text that counts as a missing value, and the boolean
@@ -33,13 +35,36 @@ FALSE_TOKENS = ["False", "FALSE", "false"]
 INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 
 
+def _header_names(top: str, sep: str) -> list[str]:
+    """Column names of a header record: the reader's own rules for empty and repeated names."""
+    names = next(csv.reader(io.StringIO(top), delimiter=sep), [])
+    low = [n.lower() for n in names]
+    return [f"_c{i}" if not n.strip() else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def _parsed(rows: DataFrame, columns: list[str], options: dict, corrupt: str | None = None) -> DataFrame:
+    """The frame's columns but ``record``, and the record's fields."""
+    fields = [f"`{c.replace('`', '``')}` string" for c in [*columns, *([corrupt] if corrupt else [])]]
+    how = {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true", **({"columnNameOfCorruptRecord": corrupt} if corrupt else {}), **options}
+    made = rows.withColumn("__r", F.from_csv("record", ", ".join(fields), {k: str(v) for k, v in how.items()}))
+    return made.select(*[c for c in rows.columns if c != "record"], "__r.*")
+
+
 def _text_frame(spark: SparkSession, path: str, **options) -> DataFrame:
-    # a line is a record, so large files are split; ``multiLine=True`` reads quoted
-    # line breaks at the cost of one task a file
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("inferSchema", False)
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    df = reader.csv(path)
+    sep = options.get("sep", ",")
+    # records that span lines are put together split by split; else a line is a record
+    states = R.spanning(spark, path, sep)
+    if states:
+        rows = R.records(spark, path, states, sep)
+        top = rows.filter("first").orderBy("file").limit(1).collect()
+        names = _header_names(top[0]["record"], sep)
+        hidden = [f"__{i}" for i in range(len(names))]
+        df = _parsed(rows.filter("not first"), hidden, options).select(*[F.col(h).alias(n) for h, n in zip(hidden, names)])
+    else:
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("inferSchema", False)
+        for k, v in options.items():
+            reader = reader.option(k, v)
+        df = reader.csv(path)
     # text columns with NA tokens as null
     return df.select(*[
         F.when(col_ref(c).isNull() | col_ref(c).isin(NA_TOKENS), F.lit(None).cast("string"))
@@ -119,14 +144,26 @@ def _header(lines: DataFrame) -> list[str] | None:
     return [h.strip() for h in next(csv.reader([line]), [])]
 
 
+def _first_names(rows: DataFrame) -> list[str] | None:
+    """The fields of the first record of one file."""
+    top = rows.filter("first").orderBy("file").limit(1).collect()
+    return [h.strip() for h in next(csv.reader(io.StringIO(top[0]["record"])), [])] if top else None
+
+
 def validate_csv(spark: SparkSession, path: str) -> DataFrame:
     """One row: row_count, column_count, bad_rows, header_ok, is_valid, message.
 
     Every file must be UTF-8 and start with the same header.  Rows whose field
-    count differs from the header's are bad.  Lines are records.
+    count differs from the header's are bad.  A quoted field may hold line breaks;
+    one that is never closed makes the table invalid.
     """
+    try:
+        states = R.spanning(spark, path)
+    except R.Unclosed:
+        return spark.createDataFrame([(0, 0, 0, False, False, "A quoted field is never closed.")], _VALIDATION_SCHEMA)
+    whole = R.records(spark, path, states) if states else None
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    found = _header(lines)
+    found = _header(lines) if whole is None else _first_names(whole)
     if found is None:
         return spark.createDataFrame([(0, 0, 0, False, False, "The file is empty.")], _VALIDATION_SCHEMA)
     names = found
@@ -135,16 +172,19 @@ def validate_csv(spark: SparkSession, path: str) -> DataFrame:
     text = lines.agg(F.count_distinct("file").alias("files"), F.count_if(~F.is_valid_utf8("value")).alias("garbled"))
     columns = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} string" for c in [*columns, "_corrupt_record"])
-    rows = (spark.read.option("mode", "PERMISSIVE").option("escape", '"').option("columnNameOfCorruptRecord", "_corrupt_record")
-            .schema(schema).csv(path).select("*", F.col("_metadata.file_path").alias("file")))
+    if whole is not None:
+        rows = _parsed(whole.select("file", "record"), columns, {}, "_corrupt_record")
+    else:
+        rows = (spark.read.option("mode", "PERMISSIVE").option("escape", '"').option("columnNameOfCorruptRecord", "_corrupt_record")
+                .schema(schema).csv(path).select("*", F.col("_metadata.file_path").alias("file")))
     # the parser drops a byte order mark or leaves it in the first field
     is_header = F.lit(True)
     for i, (c, name) in enumerate(zip(columns, names)):
         field = F.regexp_replace(F.col(c), "^\ufeff", "") if i == 0 else F.col(c)
         is_header &= F.trim(F.coalesce(field, F.lit(""))) == name
-    whole = rows.select("file", is_header.alias("is_header"), F.col("_corrupt_record").isNotNull().alias("bad"))
+    judged = rows.select("file", is_header.alias("is_header"), F.col("_corrupt_record").isNotNull().alias("bad"))
     # one row a file: its first header line is no record
-    per_file = whole.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), F.max(F.col("is_header").cast("int")).alias("headed"))
+    per_file = judged.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), F.max(F.col("is_header").cast("int")).alias("headed"))
     total = per_file.agg(F.sum(F.col("n") - F.col("headed")).alias("row_count"), F.sum("bad").alias("bad_rows"), F.sum("headed").alias("headed"))
     headed = (F.col("headed") == F.col("files"))
     return total.crossJoin(text).select(  # one row each
