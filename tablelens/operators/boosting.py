@@ -3,8 +3,9 @@
 Features are put into at most ``bins`` bins once.  A level of all trees of a
 round is one pass over the rows: each task adds up gradients, hessians and rows
 by (class, node, feature, bin), one aggregate adds up the tasks' sums, and
-running sums over the bins score every split.  The best split of each node
-reaches the driver, a row each, and its two sides are the leaf values:
+running sums over the bins score every split.  The best split of each node by
+each feature reaches the driver, a row each, and the best one's two sides are
+the leaf values:
 
     gain = GL² / (HL + l2) + GR² / (HR + l2) − G² / (H + l2)
     value = −rate · G / (H + l2)
@@ -182,11 +183,12 @@ def histograms(rows: DataFrame, done: list[list[Tree]], growing: list[Tree], ope
 
     names = ["output", "node", "feature", "bin", "g", "h", "n"]
     parts = rows.mapInArrow(run, "output int, node long, feature long, bin long, g double, h double, n double")
-    return parts.groupBy("output", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    # dealt once by what the running sums need; the tasks' sums are partial sums already
+    return parts.repartition("output", "node", "feature").groupBy("output", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
 def best_splits(sums: DataFrame, s: Settings) -> DataFrame:
-    """output, node, feature, bin, gain, and the sums g, h of the left (l) and right (r) side: each node's best split."""
+    """output, node, feature, bin, gain, and the sums g, h of the left (l) and right (r) side: the best split by each feature of each node."""
     whole = Window.partitionBy("output", "node", "feature")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sides = sums.select("output", "node", "feature", "bin", *[F.sum(c).over(upto).alias(f"{c}l") for c in "ghn"], *[F.sum(c).over(whole).alias(c) for c in "ghn"])
@@ -194,9 +196,9 @@ def best_splits(sums: DataFrame, s: Settings) -> DataFrame:
     part = lambda g, h: F.col(g) * F.col(g) / (F.col(h) + s.l2)
     gain = F.round(part("gl", "hl") + part("gr", "hr") - part("g", "h"), 9)
     able = sides.filter((F.col("nl") >= s.least_rows) & (F.col("nr") >= s.least_rows) & (F.col("hl") + s.l2 > 0) & (F.col("hr") + s.l2 > 0)).withColumn("gain", gain).filter("gain > 0")
-    row = F.struct(F.col("gain"), -F.col("feature"), -F.col("bin"), *[F.col(c) for c in ("gl", "hl", "gr", "hr")])
-    return able.groupBy("output", "node").agg(F.max(row).alias("x")).select(
-        "output", "node", (-F.col("x.col2")).alias("feature"), (-F.col("x.col3")).alias("bin"), "x.gain", "x.gl", "x.hl", "x.gr", "x.hr")
+    row = F.struct(F.col("gain"), -F.col("bin"), *[F.col(c) for c in ("gl", "hl", "gr", "hr")])
+    return able.groupBy("output", "node", "feature").agg(F.max(row).alias("x")).select(
+        "output", "node", "feature", (-F.col("x.col2")).alias("bin"), "x.gain", "x.gl", "x.hl", "x.gr", "x.hr")
 
 
 @dataclass
@@ -248,9 +250,12 @@ def boost(frame: DataFrame, s: Settings, x: str = "x", label: str = "label") ->
         for _ in range(s.depth):
             if not any(open_nodes):
                 break
-            found = best_splits(histograms(rows, since, trees, open_nodes, s, width, number), s).collect()  # a row for each open node
+            found = best_splits(histograms(rows, since, trees, open_nodes, s, width, number), s).collect()  # a row for each open node and feature
             open_nodes = [[] for _ in trees]
-            for r in found:
+            best = {}
+            for r in sorted(found, key=lambda r: (-r.gain, r.feature)):
+                best.setdefault((r.output, r.node), r)
+            for r in best.values():
                 t, i = trees[r.output], r.node
                 t.feature[i], t.cut_bin[i], t.cut[i], t.gain[i] = r.feature, r.bin, edges[r.feature][r.bin], r.gain
                 for child, g, h in ((2 * i + 1, r.gl, r.hl), (2 * i + 2, r.gr, r.hr)):

@@ -8,6 +8,7 @@ metrics run on rule-made predictions.  Model fits are rows-only checks.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tablelens.operators.automl import SMALL_SIZES, benchmark
@@ -22,6 +23,7 @@ from tablelens.operators.prep import fitted_state, prepare, scaler_state
 from tablelens.operators.scoring import score
 from tablelens.operators.targets import feature_intelligence, leakage, target_candidates
 from tablelens.functions.naming import POST_OUTCOME_PATTERNS, TARGET_KEYWORDS
+from tablelens.operators.boosting import HistBoosting, Settings, boost
 from tablelens.plans import oracle as O
 from tablelens.plans.catalog import register, table
 
@@ -335,6 +337,86 @@ def q_regression_diagnostics(spark, sf_dir):
     return regression_diagnostics(reg_pred(spark, sf_dir), 0.5).drop("grade", "readiness", "executive_narrative")
 
 
+# ---------------------------------------------------------------------------
+# histogram boosting: the first trees, and the probabilities that follow from them
+# ---------------------------------------------------------------------------
+
+BOOST_X = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+BOOST_CLASSES = ["A", "N", "R"]
+
+
+def _long_sql(src: str) -> str:
+    """Rows of (k, node, f, v, g, h) of ``src`` (k, node, g, h and the features), unpivoted and summed by value."""
+    return " UNION ALL ".join(f"SELECT k, node, {i} AS f, CAST({c} AS DOUBLE) AS v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {src} GROUP BY k, node, v" for i, c in enumerate(BOOST_X))
+
+
+def _best_sql(long: str, least: int = 5, l2: float = 0.05) -> str:
+    """Best split of each (k, node): f, cut, gain and the two sides' sums."""
+    own, upto = "PARTITION BY k, node, f", "PARTITION BY k, node, f ORDER BY v"
+    return f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, node ORDER BY gain DESC, f, v) AS nth FROM (
+  SELECT k, node, f, v, cut, gl, hl, gt - gl AS gr, ht - hl AS hr,
+         gl * gl / (hl + {l2}) + (gt - gl) * (gt - gl) / (ht - hl + {l2}) - gt * gt / (ht + {l2}) AS gain
+  FROM (SELECT k, node, f, v, (v + lead(v) OVER ({upto})) / 2 AS cut, sum(g) OVER ({upto}) AS gl, sum(h) OVER ({upto}) AS hl, sum(n) OVER ({upto}) AS nl,
+               sum(g) OVER ({own}) AS gt, sum(h) OVER ({own}) AS ht, sum(n) OVER ({own}) AS nt FROM ({long}) lo) c
+  WHERE cut IS NOT NULL AND nl >= {least} AND nt - nl >= {least}) s WHERE gain > 0) r WHERE nth = 1"""
+
+
+def _goes_right(best: str) -> str:
+    return f"CASE {best}.f " + " ".join(f"WHEN {i} THEN CAST({c} AS DOUBLE)" for i, c in enumerate(BOOST_X)) + f" END > {best}.cut"
+
+
+HIST_TREE_SQL = f"""
+WITH r0 AS (SELECT *, 0 AS k, 0 AS node, (SELECT avg(l_extendedprice) FROM lineitem) - l_extendedprice AS g, 1.0 AS h FROM lineitem),
+b0 AS ({_best_sql(_long_sql("r0"))}),
+r1 AS (SELECT {", ".join("r0." + c for c in BOOST_X)}, r0.k, CASE WHEN {_goes_right("b0")} THEN 2 ELSE 1 END AS node, r0.g, r0.h FROM r0 CROSS JOIN b0),
+b1 AS ({_best_sql(_long_sql("r1"))})
+SELECT CAST(node AS BIGINT) AS node, CAST(f AS BIGINT) AS feature, round(cut, 6) AS cut, round(gain / 1e6, 2) AS gain_millions,
+       round(-0.1 * gl / (hl + 0.05), 4) AS left_value, round(-0.1 * gr / (hr + 0.05), 4) AS right_value
+FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1) b
+"""
+
+
+def _boost_frame(spark, sf_dir, label):
+    return table(spark, sf_dir, "lineitem").select(F.array(*[F.col(c).cast("double") for c in BOOST_X]).alias("x"), label.alias("label"), "l_returnflag")
+
+
+@register("hist_boosting_tree_lineitem", HIST_TREE_SQL)
+def q_hist_tree(spark, sf_dir):
+    made = boost(_boost_frame(spark, sf_dir, F.col("l_extendedprice")), Settings(rounds=1, depth=2))
+    t = made.rounds[0][0]
+    rows = [(i, t.feature[i], t.cut[i], t.gain[i], t.value[2 * i + 1], t.value[2 * i + 2]) for i in range(3) if t.feature[i] >= 0]
+    return spark.createDataFrame(rows, "node long, feature long, cut double, gain double, l double, r double").select(
+        "node", "feature", F.round("cut", 6).alias("cut"), F.round(F.col("gain") / 1e6, 2).alias("gain_millions"), F.round("l", 4).alias("left_value"), F.round("r", 4).alias("right_value"))
+
+
+# one round of three trees: priors, splits, leaf values, and each row's probabilities
+SOFTMAX_SQL = f"""
+WITH c AS (SELECT *, row_number() OVER () AS id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem),
+p AS (SELECT y AS k, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM c) AS p FROM c GROUP BY y),
+z AS (SELECT k, p, ln(p) - (SELECT avg(ln(p)) FROM p) AS base FROM p),
+r AS (SELECT c.*, z.k, 0 AS node, z.p - CASE WHEN y = z.k THEN 1 ELSE 0 END AS g, z.p * (1 - z.p) AS h FROM c CROSS JOIN z),
+b AS ({_best_sql(_long_sql("r"))}),
+s AS (SELECT r.id, r.y, r.k, z.base + coalesce(CASE WHEN {_goes_right("b")} THEN -0.1 * gr / (hr + 0.05) ELSE -0.1 * gl / (hl + 0.05) END, 0) AS raw
+      FROM r JOIN z ON z.k = r.k LEFT JOIN b ON b.k = r.k),
+w AS (SELECT id, y, max(CASE WHEN k = 0 THEN exp(raw) END) AS a, max(CASE WHEN k = 1 THEN exp(raw) END) AS n, max(CASE WHEN k = 2 THEN exp(raw) END) AS q FROM s GROUP BY 1, 2)
+SELECT CASE y WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS l_returnflag, count(*) AS n_rows, round(avg(a / (a + n + q)), 8) AS p_a, round(avg(n / (a + n + q)), 8) AS p_n,
+       round(avg(q / (a + n + q)), 8) AS p_r, count(*) FILTER (a >= n AND a >= q) AS is_a, count(*) FILTER (n > a AND n >= q) AS is_n, count(*) FILTER (q > a AND q > n) AS is_r
+FROM w GROUP BY y
+"""
+
+
+@register("softmax_boosting_lineitem", SOFTMAX_SQL)
+def q_softmax(spark, sf_dir):
+    rank = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0)
+    rows = _boost_frame(spark, sf_dir, rank).withColumn("features", array_to_vector("x"))
+    model = HistBoosting(Settings(classes=3, rounds=1, depth=1)).fit(rows)
+    made = model.transform(rows).withColumn("p", vector_to_array("probability"))
+    return made.groupBy("l_returnflag").agg(
+        F.count("*").alias("n_rows"), *[F.round(F.avg(F.col("p")[i]), 8).alias(f"p_{c.lower()}") for i, c in enumerate(BOOST_CLASSES)],
+        *[F.count_if(F.col("prediction") == i).alias(f"is_{c.lower()}") for i, c in enumerate(BOOST_CLASSES)])
+
+
 # ---------------------------------------------------------------------------
 # benchmark and scoring (rows-only: model numbers are not SQL)
 # ---------------------------------------------------------------------------
