@@ -42,6 +42,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rounds after which the scores so far are written down.
 WRITTEN_ROUNDS = 10
+#: Rows that a task has at least, if there are so many: a level's pass is short.
+TASK_ROWS = 25_000
 
 
 @dataclass
@@ -223,8 +225,8 @@ def boost(frame: DataFrame, s: Settings, x: str = "x", label: str = "label") ->
     """Fit on an array column of features without gaps and a label (a number, or the class 0, 1, 2...)."""
     ensure_checkpoint_dir(frame.sparkSession)
     plain = frame.select(F.col(x).cast("array<double>").alias("x"), F.col(label).cast("double").alias("label"))
-    first = plain.select(F.size("x").alias("n")).first()
-    width = first.n if first else 0
+    total, width = plain.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    width = width or 0
     edges = bin_edges(plain, width, s.bins)
     if s.classes == 0:
         base = [plain.agg(F.avg("label")).first()[0] or 0.0]
@@ -242,6 +244,7 @@ def boost(frame: DataFrame, s: Settings, x: str = "x", label: str = "label") ->
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel())), b.column("label"), b.column("raw")], names=["id", "b", "label", "raw"])
 
     start = plain.select(F.monotonically_increasing_id().alias("id"), "x", "label", F.array(*[F.lit(v) for v in base]).alias("raw"))
+    start = start.coalesce(-(-max(total, 1) // TASK_ROWS))
     rows = start.mapInArrow(put_in_bins, "id long, b array<smallint>, label double, raw array<double>").checkpoint()
     since: list[list[Tree]] = []
     for number in range(s.rounds):
