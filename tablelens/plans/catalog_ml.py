@@ -23,6 +23,7 @@ from tablelens.operators.prep import fitted_state, prepare, scaler_state
 from tablelens.operators.scoring import score
 from tablelens.operators.targets import feature_intelligence, leakage, target_candidates
 from tablelens.functions.naming import POST_OUTCOME_PATTERNS, TARGET_KEYWORDS
+from tablelens.operators import extratrees
 from tablelens.operators.boosting import HistBoosting, Settings, boost
 from tablelens.plans import oracle as O
 from tablelens.plans.catalog import register, table
@@ -390,6 +391,16 @@ def q_hist_tree(spark, sf_dir):
         "node", "feature", F.round("cut", 6).alias("cut"), F.round(F.col("gain") / 1e6, 2).alias("gain_millions"), F.round("l", 4).alias("left_value"), F.round("r", 4).alias("right_value"))
 
 
+def _class_shares(spark, sf_dir, estimator):
+    """For each class: its rows, their mean probabilities, and what is predicted for them."""
+    rank = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0)
+    rows = _boost_frame(spark, sf_dir, rank).withColumn("features", array_to_vector("x"))
+    made = estimator.fit(rows).transform(rows).withColumn("p", vector_to_array("probability"))
+    return made.groupBy("l_returnflag").agg(
+        F.count("*").alias("n_rows"), *[F.round(F.avg(F.col("p")[i]), 8).alias(f"p_{c.lower()}") for i, c in enumerate(BOOST_CLASSES)],
+        *[F.count_if(F.col("prediction") == i).alias(f"is_{c.lower()}") for i, c in enumerate(BOOST_CLASSES)])
+
+
 # one round of three trees: priors, splits, leaf values, and each row's probabilities
 SOFTMAX_SQL = f"""
 WITH c AS (SELECT *, row_number() OVER () AS id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem),
@@ -408,13 +419,71 @@ FROM w GROUP BY y
 
 @register("softmax_boosting_lineitem", SOFTMAX_SQL)
 def q_softmax(spark, sf_dir):
-    rank = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0)
-    rows = _boost_frame(spark, sf_dir, rank).withColumn("features", array_to_vector("x"))
-    model = HistBoosting(Settings(classes=3, rounds=1, depth=1)).fit(rows)
-    made = model.transform(rows).withColumn("p", vector_to_array("probability"))
-    return made.groupBy("l_returnflag").agg(
-        F.count("*").alias("n_rows"), *[F.round(F.avg(F.col("p")[i]), 8).alias(f"p_{c.lower()}") for i, c in enumerate(BOOST_CLASSES)],
-        *[F.count_if(F.col("prediction") == i).alias(f"is_{c.lower()}") for i, c in enumerate(BOOST_CLASSES)])
+    return _class_shares(spark, sf_dir, HistBoosting(Settings(classes=3, rounds=1, depth=1)))
+
+
+# ---------------------------------------------------------------------------
+# extra trees: cuts drawn by a hash, scored on all rows
+# ---------------------------------------------------------------------------
+
+def _unit_sql(purpose: str) -> str:
+    return f"(CAST(('0x' || substr(md5('42:{purpose}:' || tree || ':' || node || ':' || f), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+def _drawn_best_sql(rows: str, tries: int, classes: bool, least: int = 2) -> str:
+    """Best drawn cut of each (tree, node) of ``rows`` (tree, node, y and the features): f, cut, gain, nl, nr and lists of the sums by class."""
+    long = " UNION ALL ".join(f"SELECT tree, node, y, {i} AS f, CAST({c} AS DOUBLE) AS v FROM {rows}" for i, c in enumerate(BOOST_X))
+    k, w = ("y", "1.0") if classes else ("0", "y")
+    return f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, f) AS nth FROM (
+  SELECT tree, node, f, cut, sum(nl) AS nl, sum(nr) AS nr, round(sum(vl * vl) / sum(nl) + sum(vr * vr) / sum(nr) - sum((vl + vr) * (vl + vr)) / sum(nl + nr), 9) AS gain,
+         list(vl ORDER BY k) AS ls, list(vr ORDER BY k) AS rs
+  FROM (SELECT lo.tree, lo.node, lo.f, d.cut, {k} AS k, sum(CASE WHEN v <= d.cut THEN {w} ELSE 0.0 END) AS vl, sum(CASE WHEN v > d.cut THEN {w} ELSE 0.0 END) AS vr,
+               CAST(count(*) FILTER (v <= d.cut) AS DOUBLE) AS nl, CAST(count(*) FILTER (v > d.cut) AS DOUBLE) AS nr
+        FROM ({long}) lo JOIN (
+          SELECT tree, node, f, least(a + {_unit_sql("cut")} * (b - a), b) AS cut FROM (
+            SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY {_unit_sql("feature")}, f) AS pick
+            FROM (SELECT tree, node, f, min(v) AS a, max(v) AS b FROM ({long}) m GROUP BY tree, node, f) g WHERE a < b) p WHERE pick <= {tries}) d
+          ON d.tree = lo.tree AND d.node = lo.node AND d.f = lo.f GROUP BY ALL) e
+  GROUP BY tree, node, f, cut HAVING sum(nl) >= {least} AND sum(nr) >= {least}) s WHERE gain > 0) r WHERE nth = 1"""
+
+
+# two trees of depth 2: the children of the root are nodes 1 and 2
+EXTRA_TREES_SQL = f"""
+WITH r0 AS (SELECT l.*, t.tree, 0 AS node, l.l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem) AS y FROM lineitem l CROSS JOIN (VALUES (0), (1)) t(tree)),
+b0 AS ({_drawn_best_sql("r0", 4, False)}),
+r1 AS (SELECT r0.* EXCLUDE (node), CASE WHEN {_goes_right("b0")} THEN 2 ELSE 1 END AS node FROM r0 JOIN b0 ON b0.tree = r0.tree),
+b1 AS ({_drawn_best_sql("r1", 4, False)})
+SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, CAST(f AS BIGINT) AS feature, round(cut, 6) AS cut, round(gain / 1e6, 2) AS gain_millions,
+       round((SELECT avg(l_extendedprice) FROM lineitem) + ls[1] / nl, 4) AS left_value, round((SELECT avg(l_extendedprice) FROM lineitem) + rs[1] / nr, 4) AS right_value
+FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1) b
+"""
+
+
+@register("extra_trees_lineitem", EXTRA_TREES_SQL)
+def q_extra_trees(spark, sf_dir):
+    made = extratrees.grow(_boost_frame(spark, sf_dir, F.col("l_extendedprice")), extratrees.Settings(trees=2, depth=2))
+    rows = [(n, i, t.feature[i], t.cut[i], t.gain[i], t.value[t.left[i]][0], t.value[t.left[i] + 1][0]) for n, t in enumerate(made.trees) for i in range(len(t.feature)) if t.feature[i] >= 0]
+    return spark.createDataFrame(rows, "tree long, node long, feature long, cut double, gain double, l double, r double").select(
+        "tree", "node", "feature", F.round("cut", 6).alias("cut"), F.round(F.col("gain") / 1e6, 2).alias("gain_millions"), F.round("l", 4).alias("left_value"), F.round("r", 4).alias("right_value"))
+
+
+# three trees of depth 1 that try two features each, and the forest's probabilities of every row
+EXTRA_CLASSES_SQL = f"""
+WITH c AS (SELECT *, row_number() OVER () AS id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem),
+r AS (SELECT c.*, t.tree, 0 AS node FROM c CROSS JOIN (VALUES (0), (1), (2)) t(tree)),
+b AS ({_drawn_best_sql("r", 2, True)}),
+s AS (SELECT r.id, r.y, avg(CASE WHEN {_goes_right("b")} THEN rs[1] / nr ELSE ls[1] / nl END) AS a, avg(CASE WHEN {_goes_right("b")} THEN rs[2] / nr ELSE ls[2] / nl END) AS n,
+             avg(CASE WHEN {_goes_right("b")} THEN rs[3] / nr ELSE ls[3] / nl END) AS q FROM r JOIN b ON b.tree = r.tree GROUP BY 1, 2)
+SELECT CASE y WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS l_returnflag, count(*) AS n_rows, round(avg(a), 8) AS p_a, round(avg(n), 8) AS p_n, round(avg(q), 8) AS p_r,
+       count(*) FILTER (a >= n AND a >= q) AS is_a, count(*) FILTER (n > a AND n >= q) AS is_n, count(*) FILTER (q > a AND q > n) AS is_r
+FROM s GROUP BY y
+"""
+
+
+@register("extra_trees_classes_lineitem", EXTRA_CLASSES_SQL)
+def q_extra_classes(spark, sf_dir):
+    return _class_shares(spark, sf_dir, extratrees.ExtraTrees(extratrees.Settings(classes=3, trees=3, depth=1)))
 
 
 # ---------------------------------------------------------------------------
