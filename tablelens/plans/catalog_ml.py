@@ -1,7 +1,7 @@
 """Registered target, preparation, metric, benchmark and scoring queries.
 
 Oracles: targets / leakage / feature intelligence restate the rules in SQL;
-the split is the same md5 hash in DuckDB; fitted medians, modes,
+the split orders each class by the same md5 hash in DuckDB; fitted medians, modes,
 vocabularies and scaler statistics are recomputed on the DuckDB train rows;
 metrics run on rule-made predictions.  Model fits are rows-only checks.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tablelens.operators.automl import SMALL_SIZES, benchmark
+from tablelens.operators.automl import SMALL_SIZES, benchmark, fold_ranks
 from tablelens.operators.metrics import (
     class_report,
     classification_metrics,
@@ -19,11 +19,13 @@ from tablelens.operators.metrics import (
     regression_diagnostics,
     regression_metrics,
 )
-from tablelens.operators.prep import fitted_state, prepare, scaler_state
+from tablelens.operators.prep import fitted_state, hash_unit, prepare, scaler_state
 from tablelens.operators.scoring import score
 from tablelens.operators.targets import feature_intelligence, leakage, target_candidates
 from tablelens.functions.naming import POST_OUTCOME_PATTERNS, TARGET_KEYWORDS
 from tablelens.operators import extratrees
+from tablelens.operators.permutation import permutation_importance
+from tablelens.operators.quota import parts
 from tablelens.operators.boosting import HistBoosting, Settings, boost
 from tablelens.plans import oracle as O
 from tablelens.plans.catalog import register, table
@@ -42,6 +44,8 @@ LINE_FEATURES = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_ta
 LINE_SQL = "(SELECT " + ", ".join(LINE_FEATURES) + " FROM lineitem)"
 LINE_COLS = [(n, d) for n, d in O.TABLES["lineitem"] if n in LINE_FEATURES]
 LINE_KEY = ["l_orderkey", "l_linenumber"]
+#: Tells the lines apart; the two above do not.
+LINE_IDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
 def labelled_docs(spark, sf_dir):
@@ -166,11 +170,16 @@ def _u_sql(keys: list[str], seed: int = 42) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
+def _split_rows(src: str, keys: list[str], target: str) -> str:
+    """Rows with ``nth``, their place in their class by the hash of the keys, and ``least``, the number of test rows of the class."""
+    return (f"(SELECT *, row_number() OVER (PARTITION BY {target} ORDER BY {_u_sql(keys)}) AS nth, "
+            f"CAST(ceil(round(0.2 * count(*) OVER (PARTITION BY {target}), 9)) AS BIGINT) AS least FROM {src} WHERE {target} IS NOT NULL)")
+
+
 SPLIT_SQL = f"""
-SELECT CASE WHEN {_u_sql(LINE_KEY)} < 0.2 THEN 'test' ELSE 'train' END AS split,
-       CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS DOUBLE) AS label,
-       count(*) AS n
-FROM lineitem GROUP BY 1, 2
+SELECT CASE WHEN nth <= least THEN 'test' ELSE 'train' END AS split,
+       CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS DOUBLE) AS label, count(*) AS n
+FROM {_split_rows("lineitem", LINE_KEY, "l_returnflag")} s GROUP BY 1, 2
 """
 
 
@@ -180,8 +189,37 @@ def q_split(spark, sf_dir):
     return prep.frame.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+# a rare class keeps its share, and the label does not leak into the rows chosen
+SPLIT_RARE_SQL = f"""
+SELECT CASE WHEN nth <= least THEN 'test' ELSE 'train' END AS split, CAST(toxic AS DOUBLE) AS label, count(*) AS n
+FROM {_split_rows(LABELLED_DOCS_SQL, ["doc_id"], "toxic")} s GROUP BY 1, 2
+"""
+
+
+@register("split_rare_class_documents", SPLIT_RARE_SQL)
+def q_split_rare(spark, sf_dir):
+    prep = prepare(labelled_docs(spark, sf_dir), "toxic", split_key=["doc_id"])
+    return prep.frame.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# the rows of each class in five folds, told by sums over their keys and prices
+FOLDS_SQL = f"""
+SELECT l_returnflag, CAST((nth - 1) * 5 // n AS INTEGER) AS fold, count(*) AS n_rows, CAST(sum(l_orderkey) AS BIGINT) AS keys, CAST(sum(l_linenumber) AS BIGINT) AS lines
+FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {_u_sql(LINE_IDS, 49)}) AS nth, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) s
+GROUP BY 1, 2
+"""
+
+
+@register("folds_stratified_lineitem", FOLDS_SQL)
+def q_folds(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    of_class = {r["l_returnflag"]: r["count"] for r in rows.groupBy("l_returnflag").count().collect()}
+    made = parts(rows, F.col("l_returnflag"), hash_unit(LINE_IDS, 49), fold_ranks(of_class, 5), "fold")
+    return made.groupBy("l_returnflag", "fold").agg(F.count("*").alias("n_rows"), F.sum("l_orderkey").alias("keys"), F.sum(F.col("l_linenumber").cast("long")).alias("lines"))
+
+
 def _train_rows(src: str) -> str:
-    return f"(SELECT * FROM {src} t WHERE {_u_sql(LINE_KEY)} >= 0.2)"
+    return f"(SELECT * FROM {_split_rows(src, LINE_KEY, 'l_returnflag')} t WHERE nth > least)"
 
 
 def fitted_state_sql() -> str:
@@ -486,6 +524,50 @@ def q_extra_classes(spark, sf_dir):
     return _class_shares(spark, sf_dir, extratrees.ExtraTrees(extratrees.Settings(classes=3, trees=3, depth=1)))
 
 
+# ---------------------------------------------------------------------------
+# permutation importance of a rule over all rows
+# ---------------------------------------------------------------------------
+
+PERM_X = ["l_quantity", "l_discount", "l_linenumber"]
+PERM_LABEL = "l_quantity * (1 - l_discount) * (1 + l_tax)"
+
+
+def _perm_order_sql(number: int, side: str) -> str:
+    return "md5(concat_ws(':', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in LINE_IDS) + f", '{number}{side}'))"
+
+
+def _perm_sql() -> str:
+    x = [f"CAST({c} AS DOUBLE)" for c in PERM_X]
+    rounds = []
+    for r in range(2):
+        paired = (f"(SELECT a.*, d.* FROM (SELECT {x[0]} AS a0, {x[1]} AS a1, {x[2]} AS a2, {PERM_LABEL} AS y, row_number() OVER (ORDER BY {_perm_order_sql(r, 'a')}) AS p FROM lineitem) a "
+                  f"JOIN (SELECT {x[0]} AS d0, {x[1]} AS d1, {x[2]} AS d2, row_number() OVER (ORDER BY {_perm_order_sql(r, 'b')}) AS q FROM lineitem) d ON a.p = d.q)")
+        for f in (-1, 0, 1, 2):
+            args = [f"d{i}" if i == f else f"a{i}" for i in range(2)]
+            rounds.append(f"SELECT {r} AS round, {f} AS f, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS score FROM (SELECT y, {args[0]} * (1 - {args[1]}) AS p FROM {paired} j) k")
+    return f"""
+WITH s AS ({" UNION ALL ".join(rounds)})
+SELECT CAST(a.f AS INTEGER) AS feature, round(avg(b.score - a.score), 8) AS importance, round(stddev_pop(b.score - a.score), 8) AS spread
+FROM s a JOIN s b ON a.round = b.round AND b.f = -1 WHERE a.f >= 0 GROUP BY a.f
+"""
+
+
+@register("permutation_importance_lineitem", _perm_sql())
+def q_permutation(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    frame = rows.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in PERM_X])).alias("features"), F.expr(PERM_LABEL).alias("label"), *LINE_IDS)
+
+    def rule(df):
+        x = vector_to_array("features")
+        return df.withColumn("prediction", x[0] * (1 - x[1]))
+
+    def orders(number):
+        return tuple([F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in LINE_IDS], F.lit(f"{number}{side}")))] for side in "ab")
+
+    made = permutation_importance(frame, rule, len(PERM_X), False, orders, repeats=2)
+    return made.select("feature", F.round("importance", 8).alias("importance"), F.round("spread", 8).alias("spread"))
+
+
 # ---------------------------------------------------------------------------
 # benchmark and scoring (rows-only: model numbers are not SQL)
 # ---------------------------------------------------------------------------
