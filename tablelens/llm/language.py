@@ -157,8 +157,9 @@ def sample(docs: DataFrame, allowed: Column, key: str, text: str, lang: str, row
     ranked = names.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64(F.col("k").cast("string")), "k")))
     chosen = ranked.filter(F.col("r") <= rows).select("k").distinct()
     at = F.pmod(order, F.greatest(F.lit(1), F.length(text) - excerpt)).cast("int") + 1
-    found = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("k"), "left_semi")
-    got = found.select(F.col(lang).alias("l"), F.col(text).substr(at, F.lit(excerpt)).alias("t"), F.col(key).alias("k")).orderBy("l", "k").collect()
+    found = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    found = found.select(F.col(lang).alias("l"), F.col(text).substr(at, F.lit(excerpt)).alias("t"), F.col(key).alias("k"))
+    got = found.join(F.broadcast(chosen), "k", "left_semi").orderBy("l", "k", "t").collect()
     return [(r.l, r.t) for r in got]
 
 

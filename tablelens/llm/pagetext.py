@@ -38,7 +38,7 @@ PATH_DIMS, WORD_DIMS, COUNTS, HIDDEN = 96, 48, 9, 16
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-z][a-z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>"""
     r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>"
     r"|<[!?][^>]*>",
@@ -46,8 +46,9 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
-#: Elements that stay inside a block, and those without an end tag.
+#: Elements that stay inside a block, those not shown, and those without an end tag.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
+UNSHOWN = frozenset("noscript template svg select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -65,6 +66,7 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     links = linked = 0
     at = 0
+    dark: int | None = None  # place in the stack of the element that is not shown
 
     def flush() -> None:
         nonlocal linked
@@ -85,7 +87,7 @@ def blocks(page: str) -> list[Block]:
 
     def add(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and dark is None:
             text.append(piece)
             if links:
                 linked += len(piece)
@@ -97,6 +99,27 @@ def blocks(page: str) -> list[Block]:
         if not name:  # comments, declarations and elements without shown text
             continue
         ends = bool(m[2] or m[5])
+        if dark is not None:
+            if not ends:
+                if name not in VOID:
+                    stack.append((name, ()))
+                    links += name == "a"
+                continue
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if i is None:
+                continue
+            if i >= dark:
+                close(name)
+                dark = None if i == dark else dark
+                continue
+            dark = None  # never closed: it ends with its parent
+        if name in UNSHOWN:
+            if not ends and not m[0].endswith("/>"):
+                dark = len(stack)
+                stack.append((name, ()))
+            continue
+        if name == "head":  # what it holds is not shown, and its end may be left out
+            continue
         if name in INLINE:
             if name == "br":
                 text.append(" ")
@@ -330,9 +353,9 @@ def extract(w: dict[str, np.ndarray], pages: list[str | None], places: tuple[_Pl
 
 def main_text(pages: DataFrame, key: str = "page_id", html: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:
     """key, the carried columns, text, n_chars."""
-    order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
     ids = pages.select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(SAMPLE_PAGES)
-    rows = pages.filter(F.col(html).isNotNull()).join(F.broadcast(ids), F.col(key) == F.col("k"), "left_semi").orderBy(*order).limit(SAMPLE_PAGES).select(html).collect()
+    known = pages.filter(F.col(html).isNotNull()).select(F.col(key).alias("k"), F.col(html).alias("h"))
+    rows = known.join(F.broadcast(ids), "k", "left_semi").orderBy(F.xxhash64(F.col("k").cast("string")), "k", "h").limit(SAMPLE_PAGES).select("h").collect()
     sent = pages.sparkSession.sparkContext.broadcast(train([r[0] for r in rows]))
 
     def make():

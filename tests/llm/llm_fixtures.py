@@ -12,9 +12,9 @@ def docs_of(spark):
 
     def make(rows):
         schema = StructType().add("doc_id", LongType()).add("text", StringType()).add("lang", StringType()).add("source", StringType()).add("n_chars", LongType())
-        for extra in ("score", "row", "id", "n_words", "found", "kept"):
+        for extra in ("score", "row", "id", "n_words", "found", "kept", "k", "l", "t", "y"):
             schema = schema.add(extra, StringType())
-        full = [(i, t, "en", None, None if t is None else len(t), *["x"] * 6) for i, t in rows]
+        full = [(i, t, "en", None, None if t is None else len(t), *["x"] * 10) for i, t in rows]
         return spark.createDataFrame(full, schema).repartition(3)
 
     return make

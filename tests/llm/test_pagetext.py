@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from llm_fixtures import SF_SMALL  # noqa: F401
 
+from pyspark.sql import functions as F
+
 from tablelens.llm import pagetext as P
 
 
@@ -13,6 +15,17 @@ def test_blocks():
     assert P.blocks("<p>a < b and <3 <p class='x>y'>z") and P.blocks("<<<>>>&#x0;") is not None
 
 
+def test_elements_without_an_end():
+    words = lambda page: [b.text for b in P.blocks(page)]
+    assert words("<html><head><title>t</title><body><article><p>Hello there</p></article></body></html>") == ["Hello there"]
+    assert words("<html><head><meta charset=x><title>t</title><p>First</p><p>Second") == ["First", "Second"]
+    assert words("<div><p>One</p><noscript>Not shown<p>nor this</div><p>Two</p>") == ["One", "Two"]
+    assert words("<p>A <svg><g><title>x</title><text>no</text></g></svg> line</p><svg/><p>Next</p>") == ["A line", "Next"]
+    assert words("<p>Take <select><option>1<option>2</select> of them</p></select><template><p>no</p></template><p>End</p>") == ["Take of them", "End"]
+    assert words("<div><a href=x>Go <svg><a>no</a></div><p>Free</p>") == ["Go", "Free"]
+    assert P.blocks("<div><a href=x>Go <svg><a>no</a></div><p>Free</p>")[1].linked == 0
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(3)
     w = {k: v.astype(np.float64) for k, v in P.start_weights(rng).items()}
@@ -56,7 +69,8 @@ def test_other_frames_and_edges(spark, pages):
     odd = [(900, "u", None), (901, "u", ""), (902, None, "<nav><ul><li><a href='/'>Home</a></li></ul></nav>"), (None, "u", "plain"), (900, "u", None)]
     made = f'<html><body><div class="menu"><ul><li><a href="#">A</a></li></ul></div><div class="content"><h1>Title of it</h1><p>{other}</p><p>{other}</p></div><div class="comments"><h3>Comments</h3><div class="comment"><b>Jo</b><p>First</p></div></div><div class="footer"><p>&copy; we</p></div></body></html>'
     extra = spark.createDataFrame([*odd, (903, "u", made)], "page_id long, url string, html string")
-    got = P.main_text(pages.select("page_id", "url", "html").unionByName(extra)).collect()
+    clashing = {c: F.lit("x") for c in ("k", "h", "l", "t", "y", "text", "row")}
+    got = P.main_text(pages.select("page_id", "url", "html").unionByName(extra).withColumns(clashing)).collect()
     assert len(got) == len(rows) + 6
     by = {r.page_id: r.text for r in got}
     assert by[900] == by[901] == by[902] == ""
