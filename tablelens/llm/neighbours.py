@@ -7,7 +7,12 @@ the cells near its own in the order of their estimated success: under the
 Gaussian law of a neighbour's offset each cell has a chance, the product over
 its projections.  The first ``probes`` cells are visited in every table, the
 candidates are ranked by exact cosine inside their bucket, and the tables'
-best are merged.
+best are merged.  Ranking inside a bucket keeps all rows within the rounding
+of the rough product's border, so the exact cosines alone decide.
+
+A query that has fewer than ``top`` candidates in the cells that it visits is
+asked again over all rows, in blocks of ``BLOCK`` queries and groups of index
+rows: exact, and needed only by vectors that lie alone.
 
 How many cells to visit is fitted on a bounded sample (``SAMPLE`` vectors): the
 least number that finds ``GOAL`` of the true neighbours there.  All vectors
@@ -19,7 +24,9 @@ where a group is large, and the queries with the cells that they visit in it.
 No pair of rows leaves a task, only each query's best.
 
 Defined results: vectors that are null, zero, of another dimension than most,
-or hold null or non-finite components take no part; equal vectors beyond the
+or hold null or non-finite components take no part; of rows that share an id
+the smallest vector (as Spark orders arrays) counts; equal cosines come by id;
+equal vectors beyond the
 ``top`` + 1 smallest ids of each cannot be in a result and are left out of the
 index, however many there are; repeated rows count once; a query with fewer
 candidates gets all of them; an empty table gives an empty result.
@@ -36,11 +43,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
+from tablelens.llm.frames import stored
+
 TABLES, PROJECTIONS, WIDTH = 3, 6, 2.0
 REACH = 1  # cells on either side of the query's own, in each projection
 SAMPLE, SAMPLE_QUERIES, GOAL = 4096, 256, 0.97
 #: Index rows that one task should meet at a time.
 GROUP_ROWS = 8192
+#: Queries in a block of the pass over all rows.
+BLOCK = 2048
+#: Pairs whose exact cosines are taken at a time.
+PAIRS = 1 << 16
 
 _STEPS = np.stack(np.meshgrid(*[np.arange(-REACH, REACH + 1)] * PROJECTIONS, indexing="ij"), -1).reshape(-1, PROJECTIONS)
 
@@ -178,27 +191,38 @@ def best_in_group(index: pa.Table, visits: pa.Table, top: int) -> pa.Table:
     by_cell = np.argsort(visited, kind="stable")
     of, visited = of[by_cell], visited[by_cell]
     got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    keep = top + 4  # a few more, as the rough ranking may round differently
-    for c in np.unique(cells):
+    slack = 8 * (raw.shape[1] + 8) * np.finfo(float).eps  # more than the product and the exact cosine can differ
+    for c in np.unique(visited):
         lo, hi = np.searchsorted(cells, [c, c + 1])
+        if lo == hi:
+            continue
         a, b = np.searchsorted(visited, [c, c + 1])
         for s in range(a, b, 512):
             who = of[s : min(b, s + 512)]
             near = q[who] @ x[lo:hi].T
             near[own[who][:, None] == ids[None, lo:hi]] = -2
-            n = min(keep, hi - lo)
-            some = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            got.append((np.repeat(who, n), (some + lo).ravel(), np.take_along_axis(near, some, 1).ravel()))
+            n = min(top, hi - lo)
+            border = np.maximum(np.partition(near, hi - lo - n, axis=1)[:, hi - lo - n] - slack, -1.5)
+            at, some = np.nonzero(near >= border[:, None])
+            got.append(_best(who[at], some + lo, asked, raw, ids, top))
     if not got:
         return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-    who, row, near = (np.concatenate(z) for z in zip(*got))
-    ok = near > -1.5
-    who, row, near = who[ok], row[ok], near[ok]
-    order = np.lexsort((ids[row], -near, who))
-    who, row = who[order], row[order]
-    nth = np.arange(len(who)) - np.searchsorted(who, who)
-    who, row = who[nth < keep], row[nth < keep]
-    return pa.Table.from_arrays([pa.array(own[who]), pa.array(ids[row]), pa.array(cosine(asked[who], raw[row]))], names=names)
+    who, row, score = _nearest(*(np.concatenate(z) for z in zip(*got)), ids, top)
+    return pa.Table.from_arrays([pa.array(own[who]), pa.array(ids[row]), pa.array(score)], names=names)
+
+
+def _nearest(who: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's first ``top`` rows by score, then id."""
+    order = np.lexsort((ids[row], -score, who))
+    who, row, score = who[order], row[order], score[order]
+    first = np.arange(len(who)) - np.searchsorted(who, who) < top
+    return who[first], row[first], score[first]
+
+
+def _best(who: np.ndarray, row: np.ndarray, asked: np.ndarray, raw: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries' nearest rows by exact cosine, with the cosine."""
+    parts = [cosine(asked[who[i : i + PAIRS]], raw[row[i : i + PAIRS]]) for i in range(0, len(who), PAIRS)]
+    return _nearest(who, row, np.concatenate(parts or [np.zeros(0)]), ids, top)
 
 
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", top: int = 5) -> DataFrame:
@@ -210,7 +234,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     if not sizes:
         return spark.createDataFrame([], out)
     dims, total = sizes[0].d, sizes[0].n
-    rows = rows.filter(F.size("v") == dims).dropDuplicates(["id"])
+    rows = rows.filter(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     sample = rows.select("id", "v").join(F.broadcast(chosen), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     probes, distance = fit(unit(_matrix(sample["v"].combine_chunks())), top)
@@ -226,6 +250,27 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     names = ("t", "g", "salt")
     found = index.groupBy(*names).cogroup(visits.groupBy(*names)).applyInArrow(lambda a, b: best_in_group(a, b, top), "query_id long, vec_id long, score double")
     # Merge the tables' and parts' candidates.
+    made = stored(_ranked(found, top))
+    # Queries that lie alone: over all rows.
+    full = made.groupBy("query_id").count().filter(F.col("count") >= top).select(F.col("query_id").alias("id"))
+    short = stored(rows.filter("q").select("id", "v").join(full, "id", "left_anti"))
+    left = short.count()
+    if not left:
+        return made
+    again = _ranked(_over_all(rows.withColumn("r", alike).filter(F.col("r") <= top + 1), short, groups, -(-left // BLOCK), top), top)
+    return made.join(short, F.col("query_id") == F.col("id"), "left_anti").unionByName(again)
+
+
+def _ranked(found: DataFrame, top: int) -> DataFrame:
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def _over_all(index: DataFrame, queries: DataFrame, groups: int, blocks: int, top: int) -> DataFrame:
+    """query_id, vec_id, score: the best of every group of index rows for every block of queries."""
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    one = F.lit(0).cast("long")
+    a = index.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), every(blocks).alias("block"), one.alias("cell"), "id", "v")
+    b = queries.select(every(groups).alias("g"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "v", F.array(one).alias("cells"))
+    return a.groupBy("g", "block").cogroup(b.groupBy("g", "block")).applyInArrow(lambda x, y: best_in_group(x, y, top), "query_id long, vec_id long, score double")

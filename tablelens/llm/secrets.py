@@ -2,11 +2,13 @@
 
 Patterns give the base spans: assignments to a credential name, access key
 ids, and long hexadecimal strings.  The method adds spans of kind ``random``:
-a long run of key characters is cut into tokens of a public vocabulary; common
-text needs few tokens, a random string many, so a low number of characters per
-token exposes it.  Known digests (hexadecimal of a digest's length, or given)
-and identifiers (numbers, UUIDs, names made of word-like parts) are left out,
-and so are runs that a base span already covers.
+a long run of key characters, less what base spans cover, is cut into tokens of
+a public vocabulary; common text needs few tokens, a random string many, so a
+low number of characters per token exposes it.  Left out are known digests
+(hexadecimal of a digest's length, or given), UUIDs, what has hardly a letter
+(numbers, times, rules), and identifiers, told by the same evidence: their
+parts in lower case are words, which need few tokens.  A single word has no
+second sign against it, so it must be scarcer in characters per token.
 
 Spans are [start, end) in code points of the text; a base span is the whole
 match.  Defined results: a null or empty text has no spans; ties in start come
@@ -32,15 +34,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE = 8
 
-#: Runs that the token test looks at, and the characters per token from which they pass as text.
+#: Runs that the token test looks at, and the characters per token from which they pass as text:
+#: of the whole run, of a run that is one word of letters, and of the letter parts in lower case.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-TEXT_RATIO = 2.1
+LEAST_RUN = 16
+TEXT_RATIO, WORD_RATIO, PART_RATIO = 2.1, 1.8, 2.5
+LEAST_LETTERS = 0.2  # share of letters below which a run is a number or a time
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 _HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-WORD_LIKE = 3.5  # mean length of an identifier's parts
 PATTERN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 
 Span = tuple[str, int, int]
@@ -53,26 +57,58 @@ def base_spans(text: str) -> list[Span]:
 
 
 def known(run: str, digests: frozenset[str]) -> bool:
-    """Whether the run is a digest or an identifier."""
+    """Whether the run is a known digest, hexadecimal of a digest's length, or a UUID."""
     core = run.strip("+/_=-")
     if run in digests or core in digests or _UUID.fullmatch(core):
         return True
-    if _HEX_ONLY.fullmatch(core) and len(core) in DIGEST_CHARS:
-        return True
-    parts = _PARTS.findall(core)
-    if all(p.isalpha() for p in parts) and (core.islower() or core.isupper() or core.istitle()):
-        return True  # a word, or words in one case
-    return core.isdigit() or not parts or sum(map(len, parts)) / len(parts) >= WORD_LIKE
+    return bool(_HEX_ONLY.fullmatch(core)) and len(core) in DIGEST_CHARS
+
+
+def is_random(run: str, tokens) -> bool:
+    """The token test. ``tokens``: number of a string's tokens."""
+    parts = [p.lower() for p in _PARTS.findall(run) if p.isalpha()]
+    letters = sum(map(len, parts))
+    if letters < LEAST_LETTERS * len(run):
+        return False
+    if len(run) >= (WORD_RATIO if run.isalpha() and len(parts) == 1 else TEXT_RATIO) * tokens(run):
+        return False
+    return letters < PART_RATIO * sum(map(tokens, parts))
+
+
+def merged(found: list[Span]) -> list[tuple[int, int]]:
+    """Disjoint stretches that the spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(s[1:] for s in found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def free_runs(text: str, covered: list[tuple[int, int]]):
+    """[start, end) of what the covered stretches leave of each run, without the separators behind a stretch."""
+    at = 0
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        whole, k = True, at
+        while k < len(covered) and covered[k][0] < b:
+            if covered[k][0] > a:
+                yield a, covered[k][0]
+            a, whole, k = covered[k][1], False, k + 1
+            while a < b and text[a] in "+/_=-":
+                a += 1
+        if whole or a < b:
+            yield a, b
 
 
 def spans_of(text: str, tokens, digests: frozenset[str]) -> list[Span]:
     """All spans in order. ``tokens``: number of a string's tokens."""
     found = base_spans(text)
-    for m in RUN.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for _, x, y in found) or known(m[0], digests):
-            continue
-        if b - a < TEXT_RATIO * tokens(m[0]):
+    for a, b in free_runs(text, merged(found)):
+        if b - a >= LEAST_RUN and not known(text[a:b], digests) and is_random(text[a:b], tokens):
             found.append(("random", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

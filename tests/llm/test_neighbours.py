@@ -62,3 +62,41 @@ def test_large_groups_are_salted(spark, monkeypatch):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     expect = truth(rows)
     assert sum(len(got[q] & {v for v, _ in e}) for q, e in expect.items()) >= 0.9 * sum(map(len, expect.values()))
+
+
+def answers(spark, rows):
+    got = {}
+    for r in N.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.expr(QUERY)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return got
+
+
+def test_a_query_that_lies_alone_gets_its_five(spark, monkeypatch):
+    """One direction holds all rows but the query; the pass over all rows runs in several groups and blocks."""
+    monkeypatch.setattr(N, "GROUP_ROWS", 500)
+    monkeypatch.setattr(N, "BLOCK", 2)
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(2999, 8)) * 0.02 + 1).astype(np.float32)
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)]
+    rows = [r for r in rows if r[0] not in (50, 100)] + [(0, [-1.0] * 8), (50, [1.0, -1.0] * 4), (100, [-1.0, 1.0] * 4)]
+    got, expect = answers(spark, rows), truth(rows)
+    assert set(got) == set(expect) and all(len(g) == 5 for g in got.values())
+    for q in (0, 50, 100):
+        assert [v for v, _ in got[q]] == [v for v, _ in expect[q]]
+
+
+def test_equal_cosines_of_different_vectors(spark):
+    """One direction, many lengths: cosines that differ by rounding only, in exact order, ties by id."""
+    rng = np.random.default_rng(6)
+    for _ in range(2):
+        way = rng.normal(size=8)
+        rows = [(i, (way * rng.uniform(0.1, 9)).astype(np.float32).tolist()) for i in range(400)]
+        assert answers(spark, rows) == truth(rows)
+        lengths = [(i, (np.float32([1, 2, 3, 4]) * np.float32(1 + i)).tolist()) for i in range(300)]
+        assert answers(spark, lengths) == truth(lengths)
+
+
+def test_shared_ids(spark):
+    rows = [(0, [1.0, 0.0]), (7, [1.0, 0.1]), (7, [0.0, 1.0]), (9, [0.5, 0.5])]
+    for order in (rows, rows[::-1]):
+        assert [v for v, _ in answers(spark, order)[0]] == [9, 7]
