@@ -38,13 +38,16 @@ def pct(part: Column, whole: Column, places: int = 2) -> Column:
 def sanitize(df, places: int = 4):
     """Emission step for query results: floats rounded, non-finite → null.
 
-    Only float/double/decimal columns change; everything else passes as is.
+    Decimals are rounded as decimals and keep every digit before the point;
+    everything but float, double and decimal columns passes as is.
     """
     out = []
     for f in df.schema.fields:
         name = "`" + f.name.replace("`", "``") + "`"
         t = f.dataType.simpleString()
-        if t in ("double", "float") or t.startswith("decimal"):
+        if t.startswith("decimal"):
+            out.append(F.round(F.col(name), places).alias(f.name) if f.dataType.scale > places else F.col(name))
+        elif t in ("double", "float"):
             out.append(F.round(finite(F.col(name)), places).alias(f.name))
         else:
             out.append(F.col(name))

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.functions.dates import parse_date
 from tablelens.functions.formatting import format_int_edge, format_int_label, format_label
 from tablelens.functions.naming import is_year_name
 from tablelens.operators.profile import metrics_of
@@ -138,7 +139,7 @@ def _time_ords(cols: DataFrame) -> DataFrame:
 
 def _times(m: TableMetrics) -> DataFrame:
     # the selected ords: one row per column — bounded by the schema width
-    ts = F.try_to_timestamp(F.trim(F.col("key")))
+    ts = parse_date(F.col("key"))
     vc = m.value_counts.join(F.broadcast(_time_ords(m.columns)), "ord").select(
         "ord", ts.alias("ts"), "n"
     ).where(F.col("ts").isNotNull())

@@ -297,6 +297,41 @@ for _key in ("lineitem", "orders", "events", "documents", "customer", "part", "e
         (lambda b: lambda spark, sf_dir: distributions(b(spark, sf_dir)))(_build))
 
 
+_DATE_TEXTS = (  # column, Spark format, the formats that DuckDB may read it by
+    ("us", "MM/dd/yyyy", ["%m/%d/%Y"]),
+    ("eu", "d.M.yyyy", ["%m.%d.%Y", "%d.%m.%Y"]),
+    ("named", "dd MMM yyyy", ["%d %b %Y"]),
+    ("long", "EEEE, MMMM d, yyyy h:mm a", ["%A, %B %d, %Y %I:%M %p"]),
+    ("iso", "yyyy-MM-dd'T'HH:mm:ss", ["%Y-%m-%dT%H:%M:%S"]),
+)
+_DUCK_DATES = ", ".join(f"strftime(o_orderdate, '{f[-1]}') AS {n}" for n, _, f in _DATE_TEXTS)
+_MIXED_DUCK = "CASE o_orderkey % 10 WHEN 0 THEN 'unknown' WHEN 1 THEN us WHEN 2 THEN named WHEN 3 THEN eu ELSE iso END"
+DATE_TEXTS_SQL = f"""
+SELECT us, eu, named, long, iso, {_MIXED_DUCK} AS mixed, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE named END AS seldom
+FROM (SELECT o_orderkey, o_orderstatus, {_DUCK_DATES} FROM orders) d0"""
+
+
+def _date_texts_oracle() -> str:
+    read = lambda formats: "[" + ", ".join(f"'{f}'" for f in formats) + "]"
+    given = {n: f for n, _, f in _DATE_TEXTS}
+    given["mixed"] = given["us"] + given["eu"] + given["named"] + given["iso"]
+    parts = [OE.time_sql(f"({DATE_TEXTS_SQL}) s", i, n, f"try_strptime({n}, {read(f)})") for i, (n, f) in enumerate(given.items())]
+    parts.append(OE.frequency_sql(f"({DATE_TEXTS_SQL}) s", len(given), "seldom", "string"))
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({p}) p{k}" for k, p in enumerate(parts))
+
+
+@register("distributions_date_texts", _date_texts_oracle())
+def q_date_texts(spark, sf_dir):
+    """Dates as text in five forms, a mixture of four with a tenth of other words, and one where a quarter is no date."""
+    made = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", *[F.date_format("o_orderdate", f).alias(n) for n, f, _ in _DATE_TEXTS])
+    key = F.col("o_orderkey")
+    mixed = F.when(key % 10 == 0, "unknown").when(key % 10 == 1, F.col("us")).when(key % 10 == 2, F.col("named")).when(key % 10 == 3, F.col("eu"))
+    return distributions(made.select(
+        "us", "eu", "named", "long", "iso", mixed.otherwise(F.col("iso")).alias("mixed"),
+        F.when(key % 4 == 0, F.col("o_orderstatus")).otherwise(F.col("named")).alias("seldom"),
+    ))
+
+
 @register("distributions_orders_1995", OE.distributions_sql(ORDERS_1995_SQL, O.TABLES["orders"]))
 def q_dist_orders_1995(spark, sf_dir):
     return distributions(orders_1995(spark, sf_dir))

@@ -195,6 +195,18 @@ def q_summary_group(spark, sf_dir):
     return sql_summary(spark, "SELECT l_partkey, count(*) AS n FROM dataset GROUP BY l_partkey", df, {"dataset": df}).drop("sql")
 
 
+@register("sql_decimal_sum", """
+SELECT o_orderstatus, CAST(sum(v) AS VARCHAR) AS total, CAST(max(v) AS VARCHAR) AS largest FROM
+  (SELECT o_orderstatus, CAST(CAST('12345678901234567890.25' AS DECIMAL(30,2)) + CAST(o_orderkey AS DECIMAL(18,2)) AS DECIMAL(30,2)) AS v FROM orders) t
+GROUP BY o_orderstatus""")
+def q_decimal_sum(spark, sf_dir):
+    """Decimals of more digits than a double holds come out whole."""
+    amount = (F.lit("12345678901234567890.25").cast("decimal(30,2)") + F.col("o_orderkey").cast("decimal(18,2)")).cast("decimal(30,2)")
+    df = table(spark, sf_dir, "orders").withColumn("v", amount)
+    made = run_sql(spark, "SELECT o_orderstatus, sum(v) AS total, max(v) AS largest FROM dataset GROUP BY o_orderstatus", views={"dataset": df})
+    return made.select("o_orderstatus", F.col("total").cast("string").alias("total"), F.col("largest").cast("string").alias("largest"))
+
+
 @register("sql_summary_capped", "SELECT least(count(*), 1000) AS row_count, count(*) AS total_dataset_rows, 100.0::DOUBLE AS scanned_percentage, "
                                 "false AS is_aggregate, count(*) > 1000 AS truncated FROM orders")
 def q_summary_capped(spark, sf_dir):

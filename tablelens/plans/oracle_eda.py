@@ -203,9 +203,10 @@ def histogram_sql(src: str, i: int, name: str) -> str:
     return "\nUNION ALL\n".join([constant, single, discrete, bins])
 
 
-def time_sql(src: str, i: int, name: str) -> str:
+def time_sql(src: str, i: int, name: str, ts: str | None = None) -> str:
+    """``ts``: SQL of the timestamp, null where the value is none; a cast if not given."""
     c = q(name)
-    t = f"(SELECT CAST({c} AS TIMESTAMP) AS ts FROM {src} WHERE {c} IS NOT NULL)"
+    t = f"(SELECT * FROM (SELECT {ts or f'CAST({c} AS TIMESTAMP)'} AS ts FROM {src} WHERE {c} IS NOT NULL) t9 WHERE ts IS NOT NULL)"
     g = f"""(SELECT CASE WHEN span > 730 THEN strftime(ts, '%Y') WHEN span > 60 THEN strftime(ts, '%Y-%m')
                  ELSE strftime(ts, '%Y-%m-%d') END AS period, count(*) AS cnt, any_value(total) AS total
        FROM {t} t0, (SELECT count(*) AS total,

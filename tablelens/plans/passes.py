@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.functions.dates import parse_date
 from tablelens.functions.naming import PREFIX_ID_PATTERN, UUID_PATTERN
 from tablelens.functions.quantiles import exact_quantiles
 from tablelens.session import materialize
@@ -245,7 +246,7 @@ class TableMetrics:
             wavg(present_text, F.length(tkey)).alias("avg_len"),
             wavg(present_text, tkey.rlike(UUID_PATTERN).cast("int")).alias("uuid_rate"),
             wavg(present_text, tkey.rlike(PREFIX_ID_PATTERN).cast("int")).alias("prefix_rate"),
-            wavg(is_str & key.isNotNull(), tkey.try_cast("timestamp").isNotNull().cast("int")).alias("dt_rate"),
+            wavg(is_str & key.isNotNull(), parse_date(key).isNotNull().cast("int")).alias("dt_rate"),
             F.coalesce(wsum(is_str & key.isNotNull() & ~tkey.rlike("^[0-9]+$")), F.lit(0)).alias("nondigit"),
             F.count(key).alias("unique_count"),
             F.min(F.when(key.isNotNull(), n)).alias("min_freq"),
