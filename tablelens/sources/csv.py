@@ -56,8 +56,7 @@ def _text_frame(spark: SparkSession, path: str, **options) -> DataFrame:
     states = R.spanning(spark, path, sep)
     if states:
         rows = R.records(spark, path, states, sep)
-        top = rows.filter("first").orderBy("file").limit(1).collect()
-        names = _header_names(top[0]["record"], sep)
+        names = _header_names(R.first_record(spark, path, states, sep), sep)
         hidden = [f"__{i}" for i in range(len(names))]
         df = _parsed(rows.filter("not first"), hidden, options).select(*[F.col(h).alias(n) for h, n in zip(hidden, names)])
     else:
@@ -144,10 +143,9 @@ def _header(lines: DataFrame) -> list[str] | None:
     return [h.strip() for h in next(csv.reader([line]), [])]
 
 
-def _first_names(rows: DataFrame) -> list[str] | None:
-    """The fields of the first record of one file."""
-    top = rows.filter("first").orderBy("file").limit(1).collect()
-    return [h.strip() for h in next(csv.reader(io.StringIO(top[0]["record"])), [])] if top else None
+def _names_of(top: str | None) -> list[str] | None:
+    """The fields of the first record."""
+    return [h.strip() for h in next(csv.reader(io.StringIO(top)), [])] if top is not None else None
 
 
 def validate_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -163,7 +161,7 @@ def validate_csv(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([(0, 0, 0, False, False, "A quoted field is never closed.")], _VALIDATION_SCHEMA)
     whole = R.records(spark, path, states) if states else None
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    found = _header(lines) if whole is None else _first_names(whole)
+    found = _header(lines) if whole is None else _names_of(R.first_record(spark, path, states))
     if found is None:
         return spark.createDataFrame([(0, 0, 0, False, False, "The file is empty.")], _VALIDATION_SCHEMA)
     names = found

@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 
 from tablelens.session import conf_override
@@ -53,3 +54,17 @@ def test_a_field_over_many_splits(spark, tmp_path):
     with conf_override(spark, "spark.sql.files.maxPartitionBytes", "200"):
         rows = {r.a: r.b for r in read_csv(spark, str(tmp_path / "long.csv")).collect()}
     assert rows == {1: long, 2: long + '\n"end"', 3: "z"}
+
+
+@pytest.mark.parametrize("sep", [b",", b"||"])
+def test_ends_of_many_lines_equal_those_of_each(sep):
+    rng = random.Random(1)
+    for _ in range(100):
+        lines = [bytes(rng.choice(b'a,"|\r ') for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 30))]
+        ends = R.line_ends(pa.array([b'z"', *lines], pa.binary()).slice(1), sep)
+        assert ends.tolist() == [[R.ends_inside(x, False, sep), R.ends_inside(x, True, sep)] for x in lines]
+        for state in (False, True):
+            after = R.states_after(ends, state).tolist()
+            for line, got in zip(lines, after):
+                state = R.ends_inside(line, state, sep)
+                assert got == state
