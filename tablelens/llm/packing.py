@@ -27,6 +27,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tablelens.llm.frames import BROADCAST_KEYS, PIECE_BYTES, pieces, stored
 
@@ -55,24 +57,33 @@ SPECIAL = "<|"
 
 
 class Encoder(dict):
-    """Number of each unit met; ``flat`` and ``ends`` hold the ids of the numbered units.
+    """Number of each unit met; ``begins`` and ``sizes`` tell where its ids are in ``flat``.
 
     A unit is a part of plain text, or, after a blank, a whole word of other text.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine's cores already
-        self.tokenizer = Tokenizer.from_str(definition)
-        vocabulary = self.tokenizer.get_vocab()
+        self.definition = definition
+        # parts of plain text are normal and apart already
+        self.of_parts = Tokenizer.from_str(definition)
+        self.of_parts.normalizer = None
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.of_parts.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_str(self.definition)
+
     def forget(self) -> None:
         self.clear()
         self.new: list[str] = []
         self.size = 0
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, unit: str) -> int:
         self[unit] = number = len(self)
@@ -93,32 +104,41 @@ class Encoder(dict):
 
     def _learn(self) -> None:
         """Ids of the new units: those of plain text in one run, told apart by the tokens that close a part."""
-        plain = [u for u in self.new if u[0] != " "]
-        other = [u for u in self.new if u[0] == " "]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        whole = np.fromiter((u[0] == " " for u in self.new), bool, len(self.new))
+        plain = " ".join([u for u in self.new if u[0] != " "])
+        ids = np.array(self.of_parts.encode_batch_fast([plain], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(plain):
+        if len(ends) != len(whole) - whole.sum():
             raise ValueError("the tokenizer does not close each part of a text with one token")
-        made = dict(zip(plain, np.split(ids, ends)))
-        made.update((u, np.array(e.ids, np.uint32)) for u, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
-        parts = [made[u] for u in self.new]
-        self.flat = np.concatenate([self.flat, *parts])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in parts])])
+        other = [e.ids for e in self.tokenizer.encode_batch_fast([u for u in self.new if u[0] == " "], add_special_tokens=False)] if whole.any() else []
+        sizes = np.zeros(len(whole), np.int64)
+        sizes[~whole], sizes[whole] = np.diff(ends, prepend=0), list(map(len, other))
+        begins = np.zeros(len(whole), np.int64)
+        for some in (~whole, whole):  # the ids of the plain units, then those of the others
+            begins[some] = np.cumsum(sizes[some]) - sizes[some]
+        begins[whole] += len(ids)
+        self.begins = np.concatenate([self.begins, begins + len(self.flat)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids, *(np.array(x, np.uint32) for x in other)])
         self.new = []
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def flat_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where those of each text end."""
         if len(self) > CACHED_WORDS or self.size > CACHED_CHARS:
             self.forget()
-        numbers = [np.fromiter(map(self.__getitem__, units), np.int64, len(units)) for units in map(self.units, texts)]
+        units = list(map(self.units, texts))
+        ends = np.cumsum([0, *map(len, units)])
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(units)), np.int64, int(ends[-1]))
         if self.new:
             self._learn()
-        return [self.ids_of(x) for x in numbers]
+        n = self.sizes[numbers]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(self.begins[numbers] - upto[:-1], n) + np.arange(upto[-1])], upto[ends[1:]]
 
-    def ids_of(self, units: np.ndarray) -> np.ndarray:
-        begins = self.ends[units]
-        n = self.ends[units + 1] - begins
-        return self.flat[np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, ends = self.flat_ids(texts)
+        return np.split(ids, ends)[:-1]
 
 
 def binary_lengths(n: int, most: int = SEQUENCE) -> list[int]:
@@ -126,6 +146,14 @@ def binary_lengths(n: int, most: int = SEQUENCE) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 1, -1, -1) if n % most >> b & 1]
 
 
+def cut_rows(totals: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and length of each piece of rows with so many tokens: ``binary_lengths`` of all rows at once."""
+    powers = 1 << np.arange(most.bit_length() - 2, -1, -1)
+    counts = np.column_stack([totals // most, (totals[:, None] % most & powers) > 0])
+    lengths = np.repeat(np.tile([most, *powers], len(totals)), counts.ravel())
+    return np.repeat(np.arange(len(totals)), counts.sum(axis=1)), lengths
+
+
 def _cut(docs: DataFrame, tokenizer: str, key: str, text: str, end: int, most: int) -> DataFrame:
     """key, start, length, ids, doc_tokens, and part and nth: the task and the place among its pieces of that length."""
     with open(tokenizer, encoding="utf-8") as f:
@@ -140,22 +168,21 @@ def _cut(docs: DataFrame, tokenizer: str, key: str, text: str, end: int, most: i
         made_so_far: dict[int, int] = {}
         for batch in batches:
             for some in pieces(batch, 1, PIECE_BYTES):
-                rows, starts, lengths, blobs, totals, nths = [], [], [], [], [], []
-                for row, ids in enumerate(encoder.encode([t or "" for t in some.column(1).to_pylist()])):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    at = 0
-                    for n in binary_lengths(len(ids), most):
-                        nth = made_so_far.get(n, 0)
-                        made_so_far[n] = nth + 1
-                        rows.append(row)
-                        starts.append(at)
-                        lengths.append(n)
-                        blobs.append(ids[at : at + n].tobytes())
-                        totals.append(len(ids))
-                        nths.append(nth)
-                        at += n
+                ids, ends = encoder.flat_ids([t or "" for t in some.column(1).to_pylist()])
+                ids, totals = np.insert(ids, ends, np.uint32(end)).astype("<u4"), np.diff(ends, prepend=0) + 1
+                rows, lengths = cut_rows(totals, most)
+                after = np.cumsum(lengths)
+                nths = np.empty(len(lengths), np.int64)
+                for n in np.unique(lengths).tolist():
+                    same = np.flatnonzero(lengths == n)
+                    before = made_so_far.get(n, 0)
+                    nths[same] = before + np.arange(len(same))
+                    made_so_far[n] = before + len(same)
+                starts = after - lengths - (np.cumsum(totals) - totals)[rows]
+                places = np.concatenate([[0], 4 * after]).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(places), pa.py_buffer(ids)])
                 keys = some.column(0).take(pa.array(rows, pa.int64()))
-                arrays = [pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(blobs, pa.binary()), pa.array(totals, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(nths, pa.int64())]
+                arrays = [pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), blobs, pa.array(totals[rows], pa.int64()), pa.array(np.full(len(rows), part, np.int32)), pa.array(nths)]
                 yield pa.RecordBatch.from_arrays([keys, *arrays], names=out.names)
 
     return chosen.mapInArrow(run, out)

@@ -69,3 +69,17 @@ def test_whole_table(docs_of, library):
 
 def test_empty_table(docs_of):
     assert packing.pack(docs_of([]), PATH).count() == 0
+
+
+def test_many_rows_are_cut_as_one(library):
+    totals = np.array([1, 2, 7, 4095, 4096, 4097, 12289, 20000, 1])
+    for most in (4096, 8, 1):
+        rows, lengths = packing.cut_rows(totals, most)
+        for i, n in enumerate(totals.tolist()):
+            assert lengths[rows == i].tolist() == packing.binary_lengths(n, most)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    for some in (HARD, ["Plain words only, 12"], [], [""], HARD[::-1]):
+        ids, ends = encoder.flat_ids(some)
+        want = [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
