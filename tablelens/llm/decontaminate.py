@@ -1,7 +1,7 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 ``build_index`` stores the postings of all training tokens: each row of the
-index is one segment (some MB of whole documents) with its term list, each
+index is one segment (about a MB of whole documents) with its term list, each
 term's sorted positions and the documents' limits.  A search never reads the
 texts again.  For each window of benchmark words it orders the terms from the
 rarest in the corpus, takes the rarest one's positions less its offset in the
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from tablelens.llm.frames import lists, pieces, stored
+from tablelens.llm.frames import lists, pieces, release, stored
 
 #: Words in a window; a shorter item is one window.
 WINDOW = 10
 #: Text bytes in an index segment (one document at least).
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 #: Benchmark words that one search job broadcasts; a larger benchmark takes more jobs.
 BLOCK_WORDS = 1_000_000
 #: Possible starts that are checked at once.
@@ -64,6 +64,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in pieces(batch, 1, SEGMENT_BYTES):
@@ -195,6 +196,7 @@ def _searcher(index: DataFrame, plan, owners: list[list[str]], slack: int):
     sent = index.sparkSession.sparkContext.broadcast((*plan, owners))
 
     def run(batches):
+        release()
         vocabulary, terms, offsets, owners = sent.value
         number = {w: i for i, w in enumerate(vocabulary)}
         for b in batches:

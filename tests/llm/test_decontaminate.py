@@ -67,3 +67,21 @@ def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in D.contamination(docs_of([(1, "a b")]), none).collect()] == [False]
     assert D.contamination(docs_of([]), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_tables_are_stored_by_batches_of_bounded_bytes(spark):
+    """A task's memory follows from bytes, not from how long 10,000 rows happen to be."""
+    import pyarrow as pa
+
+    from tablelens.llm import frames
+
+    rows = spark.range(0, 6000, 1, 1).selectExpr("repeat('abcdefghij', 200) AS t")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    made = [r.n for r in frames.stored(rows.mapInArrow(sizes, "n long")).collect()]
+    assert max(made) <= 1.1 * frames.BATCH_BYTES and len(made) > 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
