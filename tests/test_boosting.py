@@ -95,3 +95,21 @@ def test_no_rows_and_nothing_to_gain(spark):
     model = B.HistBoosting(B.Settings(rounds=3)).fit(flat)
     assert model.boosted.rounds == [] and {r.prediction for r in model.transform(flat).collect()} == {2.0}
     assert model.transform(flat.limit(0)).count() == 0
+
+
+def test_features_of_few_values_need_no_quantiles(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("quantiles of a feature whose values are all cuts")
+
+    monkeypatch.setattr(B.F, "percentile_approx", none)
+    rows = spark.createDataFrame([([float(i % 7), 1.0],) for i in range(40)] + [([9.0, 1.0],)], "x array<double>").repartition(3)
+    assert B.bin_edges(rows, 2, 8) == [[0.5, 1.5, 2.5, 3.5, 4.5, 5.5, 7.5], []]
+    assert {r.i: sorted(r["values"]) for r in B.few_values(rows, 2, 7).collect()} == {0: [], 1: [1.0]}  # eight values are too many
+    assert B.bin_edges(rows.limit(0), 2, 8) == [[], []]
+
+
+def test_scoring_sends_the_features_alone_to_python(spark):
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 5)]), float(i % 5 > 2), f"text {i}") for i in range(30)], ["features", "label", "note"])
+    made = B.HistBoosting(B.Settings(classes=2, rounds=1, depth=1, least_rows=1, rate=1.0)).fit(rows).transform(rows)
+    assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    assert all(r.prediction == r.label and r.note.startswith("text") for r in made.collect())
