@@ -9,6 +9,9 @@ Every decision is made for a row and carried out on that row, told by its
 place in the stage's table, never by ``doc_id``: rows without an id are judged
 like all others, and rows that share one are judged one by one.
 
+The stages that hand texts to Python bound the session's Arrow batches by bytes,
+as their frames run when the caller writes them.
+
 Defined results: documents without text pass every stage and have no tokens;
 of repeated rows one stays (rows without both id and text all stay); an empty
 table gives an empty result.
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.llm import bpe, decontaminate, language, lshforest, secrets, toxicity
-from tablelens.llm.frames import ROW, stored, with_rows, without
+from tablelens.llm.frames import ROW, bound_batches, stored, with_rows, without
 
 #: SQL cannot express the learned and the iterative stages; tests/llm checks them against brute force.
 ORACLE_SQL = None
@@ -34,6 +37,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic."""
+    bound_batches(spark)
     teaches = F.coalesce(~language.held_out("doc_id", 5, 0), F.lit(False))
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), teaches)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
@@ -55,6 +59,7 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with a mark in place of each secret, and their new length."""
+    bound_batches(spark)
     made = secrets.redact(docs, RANKS)
     return made.select(*[
         F.col("clean").alias(c) if c == "text" else F.length("clean").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns
@@ -63,6 +68,7 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, offsets (of the tokens' bytes) of each document."""
+    bound_batches(spark)
     made = bpe.encode(docs, RANKS, carry=("lang", "source"))
     return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets")
 

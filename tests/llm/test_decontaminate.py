@@ -85,3 +85,18 @@ def test_tables_are_stored_by_batches_of_bounded_bytes(spark):
     made = [r.n for r in frames.stored(rows.mapInArrow(sizes, "n long")).collect()]
     assert max(made) <= 1.1 * frames.BATCH_BYTES and len(made) > 1
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_stored_tables_have_pages_of_bounded_bytes(spark):
+    """Rows of a MB, as those of the index, must not share a page of a hundred: it is compressed and read in one piece."""
+    from tablelens.llm import frames
+
+    made = frames.stored(spark.range(0, 30, 1, 1).selectExpr("id", "repeat(sha2(cast(id AS string), 256), 16000) AS t"))
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(made.inputFiles()[0])
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+    try:
+        pages = sum(reader.readOffsetIndex(b.getColumns()[1]).getPageCount() for b in reader.getFooter().getBlocks())
+    finally:
+        reader.close()
+    assert pages >= 10 and made.count() == 30

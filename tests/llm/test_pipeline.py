@@ -78,3 +78,26 @@ def test_stages_judge_rows(spark, docs_of, tmp_path):
     assert got(clean) == sorted(rows[2:], key=str) and clean.columns == docs.columns
     one = C.near_duplicates_out(spark, stored(docs), str(tmp_path))
     assert got(one) == sorted([*rows[:4], rows[5]], key=str) and one.columns == docs.columns
+
+
+def test_stages_written_by_the_caller_pass_batches_of_bounded_bytes(spark):
+    """The driver writes each stage itself: its batches too must follow from bytes, not from 10,000 rows however long."""
+    import pyarrow as pa
+
+    from tablelens.llm import frames
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    rows = spark.range(0, 6000, 1, 1).selectExpr("repeat('abcdefghij', 200) AS t")
+    before = spark.conf.get(frames.ARROW_BYTES)
+    try:
+        for stage in (C.toxic_out, C.secrets_out, C.tokens):
+            spark.conf.unset(frames.ARROW_BYTES)
+            stage(spark, docs, SF_SMALL)
+            made = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+            assert max(made) <= 1.1 * frames.BATCH_BYTES and len(made) > 1
+    finally:
+        spark.conf.set(frames.ARROW_BYTES, before)
