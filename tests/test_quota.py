@@ -81,3 +81,23 @@ def test_permutation_importance_equals_the_definition(spark, classes):
     assert made[2].importance == 0 and made[0].importance > 0
     none = permutation_importance(df.limit(0).cache(), rule, 3, classes, orders, repeats=1)
     assert none.filter("importance is not null").count() == 0
+
+
+def test_permutation_importance_scores_each_row_once_and_frees_its_rows(spark):
+    df = spark.range(60).select(array_to_vector(F.array(F.col("id") % 5.0, F.col("id") % 7.0)).alias("features"), (F.col("id") % 5.0).alias("label"), "id")
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def first(v):
+        scored.add(1)
+        return float(v[0])
+
+    def kept():
+        return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    before = kept()
+    orders = lambda number: ([F.col("id")], [(F.col("id") * [7, 31][number]) % 60])
+    made = permutation_importance(df, lambda d: d.withColumn("prediction", first("features")), 2, False, orders, repeats=2).collect()
+    assert {r.feature for r in made} == {0, 1} and all(len(r.losses) == 2 for r in made)
+    assert scored.value == 2 * 3 * 60  # the rows as they are and with each feature changed, in each round
+    assert kept() == before
