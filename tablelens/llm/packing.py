@@ -26,9 +26,10 @@ from __future__ import annotations
 
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,26 @@ WORD = re.compile(r"[^\t-\r\x20]+")
 SPECIAL = "<|"
 
 
-class Encoder(dict):
-    """Number of each unit met; ``begins`` and ``sizes`` tell where its ids are in ``flat``.
+def _byte_letters() -> np.ndarray:
+    """UTF-8 of the letter that stands for each byte in a byte-level vocabulary, filled up with 0; a blank stays."""
+    shown = {0x20, *range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    letters = [chr(c if c in shown and c != 0x20 else next(others)) for c in range(0x100)]
+    letters[0x20] = " "
+    return np.array([list(x.encode().ljust(2, b"\0")) for x in letters], np.uint8)
+
+
+_LETTERS = _byte_letters()
+
+
+def byte_letters(text: str) -> str:
+    """The letters of the text's UTF-8 bytes; blanks stay."""
+    out = _LETTERS[np.frombuffer(text.encode(), np.uint8)].ravel()
+    return out[out > 0].tobytes().decode()
+
+
+class Encoder:
+    """Ids of texts by those of their units; ``begins`` and ``sizes`` tell where a unit's ids are in ``flat``.
 
     A unit is a part of plain text, or, after a blank, a whole word of other text.
     """
@@ -68,7 +87,7 @@ class Encoder(dict):
         # parts of plain text are normal and apart already
         self.of_parts = Tokenizer.from_str(definition)
         self.of_parts.normalizer = None
-        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.of_parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.of_parts.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -79,18 +98,12 @@ class Encoder(dict):
         return Tokenizer.from_str(self.definition)
 
     def forget(self) -> None:
-        self.clear()
-        self.new: list[str] = []
+        #: A unit is numbered when it is met first.
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
         self.size = 0
         self.flat = np.zeros(0, np.uint32)
         self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __missing__(self, unit: str) -> int:
-        self[unit] = number = len(self)
-        self.new.append(unit)
-        self.size += len(unit)
-        return number
-
     def units(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text) and SPECIAL not in text:
             return UNIT.findall(text.lower())
@@ -102,15 +115,21 @@ class Encoder(dict):
                 out.append(" " + word)
         return out
 
-    def _learn(self) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Ids of the new units: those of plain text in one run, told apart by the tokens that close a part."""
-        whole = np.fromiter((u[0] == " " for u in self.new), bool, len(self.new))
-        plain = " ".join([u for u in self.new if u[0] != " "])
-        ids = np.array(self.of_parts.encode_batch_fast([plain], add_special_tokens=False)[0].ids, np.uint32)
+        text = " ".join(new)
+        self.size += len(text)
+        whole = np.zeros(len(new), bool)
+        others: list[str] = []
+        if text[0] == " " or "  " in text:  # units of other text begin with a blank
+            whole[:] = [u[0] == " " for u in new]
+            others = [u for u in new if u[0] == " "]
+            text = " ".join([u for u in new if u[0] != " "])
+        ids = np.array(self.of_parts.encode_batch_fast([byte_letters(text)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(whole) - whole.sum():
+        if len(ends) != len(new) - len(others):
             raise ValueError("the tokenizer does not close each part of a text with one token")
-        other = [e.ids for e in self.tokenizer.encode_batch_fast([u for u in self.new if u[0] == " "], add_special_tokens=False)] if whole.any() else []
+        other = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else []
         sizes = np.zeros(len(whole), np.int64)
         sizes[~whole], sizes[whole] = np.diff(ends, prepend=0), list(map(len, other))
         begins = np.zeros(len(whole), np.int64)
@@ -120,17 +139,16 @@ class Encoder(dict):
         self.begins = np.concatenate([self.begins, begins + len(self.flat)])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, ids, *(np.array(x, np.uint32) for x in other)])
-        self.new = []
 
     def flat_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where those of each text end."""
-        if len(self) > CACHED_WORDS or self.size > CACHED_CHARS:
+        if len(self.numbers) > CACHED_WORDS or self.size > CACHED_CHARS:
             self.forget()
         units = list(map(self.units, texts))
         ends = np.cumsum([0, *map(len, units)])
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(units)), np.int64, int(ends[-1]))
-        if self.new:
-            self._learn()
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(units)), np.int64, int(ends[-1]))
+        if len(self.numbers) > len(self.sizes):
+            self._learn([*islice(reversed(self.numbers), len(self.numbers) - len(self.sizes))][::-1])
         n = self.sizes[numbers]
         upto = np.concatenate([[0], np.cumsum(n)])
         return self.flat[np.repeat(self.begins[numbers] - upto[:-1], n) + np.arange(upto[-1])], upto[ends[1:]]

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from llm_fixtures import docs_of  # noqa: F401
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tablelens.llm import packing
 
@@ -83,3 +83,17 @@ def test_many_rows_are_cut_as_one(library):
         ids, ends = encoder.flat_ids(some)
         want = [library.encode(t, add_special_tokens=False).ids for t in some]
         assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_byte_letters_equal_the_librarys_and_units_are_learned_once(library, monkeypatch):
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    for text in ["".join(map(chr, range(0x21, 0x7F))), "".join(map(chr, range(0xA0, 0x250))), "你𝒳"]:
+        assert packing.byte_letters(text) == "".join(x for x, _ in level.pre_tokenize_str(text))
+    assert packing.byte_letters("a é") == "a Ã©"
+    with open(PATH, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    learned = []
+    monkeypatch.setattr(encoder, "_learn", lambda new, learn=encoder._learn: (learned.extend(new), learn(new)))
+    for some in (["One é, one"], ["é one two 你"], ["two 你 one."], [" "]):
+        assert encoder.flat_ids(some)[0].tolist() == sum((library.encode(t, add_special_tokens=False).ids for t in some), [])
+    assert learned == ["one", "é", ",", "two", " 你", "."]
